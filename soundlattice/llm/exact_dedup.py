@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from soundlattice.llm.shared import materialize, text_or_empty
+from soundlattice.llm.shared import materialize, text_or_empty, whole_row
 
 
 def directory(entries: DataFrame, max_depth: int, capacity: int) -> DataFrame:
@@ -53,8 +53,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return materialize(chained.select("low", "depth", "hash", "chain", "text_sha256", "keep_id", "group_size"), "hash-index")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), max_depth: int = 12, capacity: int = 4096) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256, and the ``carry`` columns.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False, max_depth: int = 12, capacity: int = 4096) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256; ``with_row`` adds the input row as
+    the struct ``row``.
 
     Texts are equal when their bytes are; null counts as empty.  Of equal texts the row with the largest id is
     kept; of repeated rows of that id and text, one.  Null ids lose to any other; if a group has only null ids,
@@ -62,13 +63,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     index = build_index(docs, id_col, text_col, max_depth, capacity)
     text = text_or_empty(text_col)
-    carried = [F.col(c).alias(f"__carry_{i}") for i, c in enumerate(carry)]
-    rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("hash"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), *carried)
+    rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("hash"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), *whole_row(docs, with_row))
     first = F.row_number().over(Window.partitionBy("__id", "text_sha256").orderBy(F.lit(1)))
     rows = rows.withColumn("__nth", first)
     found = rows.join(index.select("hash", "text_sha256", "keep_id", "group_size"), ["hash", "text_sha256"])
     kept = F.col("__id").eqNullSafe(F.col("keep_id")) & (F.col("__nth") == 1)
-    return found.select(F.col("__id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256", *(F.col(f"__carry_{i}").alias(c) for i, c in enumerate(carry) if c != id_col))
+    return found.select(F.col("__id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256", *(["row"] if with_row else []))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

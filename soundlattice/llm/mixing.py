@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from soundlattice.llm.shared import WORD_GAP, materialize
+from soundlattice.llm.shared import WORD_GAP, materialize, whole_row
 
 BUCKET_ROWS = 1024
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -49,19 +49,18 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
     return levels.select("source_key", "n", "source_size", "rank", "weight", target.cast("double").alias("target"), (1.5 - late).alias("start"), (0.5 + late).alias("end"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), weights: tuple[float, ...] = WEIGHTS, max_repeats: float = 3.0) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_row: bool = False, weights: tuple[float, ...] = WEIGHTS, max_repeats: float = 3.0) -> DataFrame:
     """The mix, a row per input row, range-sorted by position.
 
-    id, size (words), source_size, target, taken (words taken, repeats counted), copies, time, position, and the
-    ``carry`` columns.  A source's documents are taken whole, each floor(target / source_size) times, and once
+    id, size (words), source_size, target, taken (words taken, repeats counted), copies, time, position;
+    ``with_row`` adds the input row as the struct ``row``.  A source's documents are taken whole, each floor(target / source_size) times, and once
     more along a hash order until the rest of the target is met; a source misses its target by half a document at
     most.  ``time`` is the share of training before the first copy, ``position`` the words of all sources before
     it; both are null where no copy is taken, and such rows come last.  Null texts and texts without words have
     size 0; null sources form one source, last in order.  Repeated rows count each.  Empty tables give no rows.
     """
-    carried = [F.col(c).alias(f"__carry_{i}") for i, c in enumerate(carry)]
     key = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
-    sized = docs.select(F.col(id_col).alias("__id"), key.alias("source_key"), words(text_col).alias("size"), *carried)
+    sized = docs.select(F.col(id_col).alias("__id"), key.alias("source_key"), words(text_col).alias("size"), *whole_row(docs, with_row))
     sized = sized.withColumn("order", F.xxhash64("__id", "size"))
     slim = materialize(sized.select("source_key", "size", "order"), "mix-sizes")
     totals = slim.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -91,7 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.coalesce(F.sum(F.col("target") * (F.col("end") - F.col("start")) / (F.col("start") + F.col("end"))), F.lit(0.0)).alias("square"),
     ).first()
     rows = rows.withColumn("position", F.lit(demand["linear"]) * F.col("time") + F.lit(demand["square"]) * F.col("time") * F.col("time"))
-    out = rows.select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "time", "position", *(F.col(f"__carry_{i}").alias(c) for i, c in enumerate(carry) if c != id_col))
+    out = rows.select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "time", "position", *(["row"] if with_row else []))
     return out.orderBy(F.col("position").asc_nulls_last(), F.col(id_col))
 
 

@@ -45,3 +45,8 @@ def text_or_empty(column: str = "text"):
 def ascii_lower(column):
     """Lower-case A-Z only."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def whole_row(df: DataFrame, wanted: bool = True) -> list:
+    """The input row as one struct column, so that its names meet no others; an empty list if not wanted."""
+    return [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if wanted else []

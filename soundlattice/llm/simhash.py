@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soundlattice.llm.components import components
-from soundlattice.llm.shared import materialize, text_or_empty
+from soundlattice.llm.shared import materialize, text_or_empty, whole_row
 
 GROUPS = 8
 #: Rows of a cell that one task compares at once; larger cells are split into pairs of blocks.
@@ -51,18 +51,18 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, fp) as signed 64-bit integers, and the ``carry`` columns."""
-    names = ["id", *(f"carry_{i}" for i in range(len(carry)))]
-    kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, *carry)]
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, with_row: bool = False) -> DataFrame:
+    """(id, fp) as signed 64-bit integers, and the input row if asked for."""
+    rows = docs.select(F.col(id_col).alias("id"), *whole_row(docs, with_row), text_or_empty(text_col).cast("binary").alias("text"))
+    names = rows.columns[:-1]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", fp bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x) for x in batch.column(batch.num_columns - 1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], [*names, "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(n) for c, n in zip(carry, names[1:], strict=True)), text_or_empty(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)) + ", fp bigint")
+    return rows.mapInArrow(run, schema)
 
 
 def forest(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,10 +190,10 @@ def links(prints: DataFrame, distance: int = 4, cell_rows: int = CELL_ROWS) -> D
     return near.unionByName(materialize(more, "simhash-links").select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, carry: tuple[str, ...] = (), cell_rows: int = CELL_ROWS) -> DataFrame:
-    """A row per input row: id, fingerprint, component_id, and the ``carry`` columns.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, with_row: bool = False, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """A row per input row: id, fingerprint, component_id, component (the component's fingerprint name, unique).
 
-    component_id is the smallest id reachable over links of at most ``distance`` differing bits; null ids are
+    ``with_row`` adds the input row as the struct ``row``.  component_id is the smallest id reachable over links of at most ``distance`` differing bits; null ids are
     never smallest, and a component with no other id has a null one.  Null and empty texts, and those without
     words, have fingerprint zero and link like any other.  Texts of up to four words are one shingle; longer
     ones are read whole.  Repeated rows keep a row each.  Empty tables give no rows.
@@ -205,10 +205,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-roots")
     smallest = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-smallest")
-    known = materialize(rooted.join(smallest, "root").select("fp", "component_id"), "simhash-components")
-    rows = fingerprints(docs, id_col, text_col, carry) if carry else printed
-    shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(known, "fp").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry) if c != id_col))
+    known = materialize(rooted.join(smallest, "root").select("fp", "component_id", "root"), "simhash-components")
+    rows = fingerprints(docs, id_col, text_col, True) if with_row else printed
+    name = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return rows.join(known, "fp").select(F.col("id").alias(id_col), name("fp").alias("fingerprint"), "component_id", name("root").alias("component"), *(["row"] if with_row else []))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soundlattice.llm.shared import materialize, text_or_empty
+from soundlattice.llm.shared import materialize, text_or_empty, whole_row
 
 # General English words of each class.
 INSULTS = ["bastard", "clown", "creep", "disgusting", "dumb", "fool", "garbage", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "pig", "scum", "stupid", "trash", "ugly", "vermin", "worthless"]
@@ -205,58 +205,47 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 DEFAULT_CURVE = (-3.0, 1.0, 1.0, 1.0, 1.0)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", carry: tuple[str, ...] = ()) -> DataFrame:
-    """A row per input row: id, held_out, score in [0, 1], predicted (1 from 0.7 on), and the ``carry`` columns.
+def read_figures(docs: DataFrame, id_col: str, text_col: str, units, with_row: bool = False) -> DataFrame:
+    """(id, FIGURES) of each document, and the input row if asked for; ``units`` is a broadcast lexicon."""
+    rows = docs.select(F.col(id_col).alias("id"), *whole_row(docs, with_row), text_or_empty(text_col).alias("text"))
+    names = rows.columns[:-1]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1]), *(f"{f} double" for f in FIGURES)])
 
-    Labels are learned from training rows only; scores come from the text alone.  Null and empty texts, and those
-    without a matching clause, get the curve's constant.  Null labels are ignored, contrary ones count as toxic.
-    Without labels of both kinds the seed lists and a fixed curve serve.  Repeated rows are scored each; empty
-    tables give no rows.  Texts of any length are read whole.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(units.value)
+        for batch in batches:
+            read = [scorer.figures(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = np.array(read, dtype=np.float64).reshape(-1, len(FIGURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(found[:, i]) for i in range(len(FIGURES)))], [*names, *FIGURES])
+
+    return rows.mapInArrow(run, schema)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", with_row: bool = False) -> DataFrame:
+    """A row per input row: id, held_out, score in [0, 1], predicted (1 from 0.7 on).
+
+    ``with_row`` adds the input row as the struct ``row``.  Labels are learned from training rows only; scores come
+    from the text alone.  Null and empty texts, and those without a matching clause, get the curve's constant.
+    Null labels are ignored, contrary ones count as toxic.  Without labels of both kinds the seed lists and a fixed
+    curve serve.  Repeated rows are scored each; empty tables give no rows.  Texts of any length are read whole.
     """
     spark = docs.sparkSession
     marks = labels.where(F.col(label_col).isNotNull() & _training(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    text = text_or_empty(text_col)
-    labelled = docs.where(_training(F.col(id_col))).select(F.col(id_col).alias("id"), text.alias("text")).join(marks, "id")
+    labelled = docs.where(_training(F.col(id_col))).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(marks, "id")
     units = spark.sparkContext.broadcast(learn_units(labelled))  # MAX_UNITS entries at most
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(units.value)
-        for batch in batches:
-            rows = [scorer.figures(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            found = np.array(rows, dtype=np.float64).reshape(-1, len(FIGURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(found[:, i]) for i in range(len(FIGURES)))], [*batch.schema.names[:-1], *FIGURES])
-
-    names = {c: f"carry_{i}" for i, c in enumerate(carry)}
-    kept = [F.col(id_col).alias("id"), *(F.col(c).alias(n) for c, n in names.items())]
-    schema = ", ".join([f"id {docs.schema[id_col].dataType.simpleString()}", *(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in names.items()), *(f"{f} double" for f in FIGURES)])
-    read = docs.select(*kept, text.alias("text")).mapInArrow(run, schema)
-    if not carry:
-        read = materialize(read, "toxic-figures")
-    sample = labelled.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS) if carry else read.where(_training(F.col("id"))).join(marks, "id").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
-    if carry:
-        sample = sample.select("id", "label", "text").mapInArrow(run_labelled(units), "label int, " + ", ".join(f"{f} double" for f in FIGURES))
-    fit = sample.select("label", *FIGURES).toPandas()
+    read = materialize(read_figures(docs, id_col, text_col, units), "toxic-figures")
+    fit = read.where(_training(F.col("id"))).join(marks, "id").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("label", *FIGURES).toPandas()
     if 0 < (fit["label"] == 1).sum() < len(fit):
         curve = fit_logistic(fit[list(FIGURES)].to_numpy(), (fit["label"] == 1).to_numpy(dtype=float)).tolist()
     else:
         curve = DEFAULT_CURVE
+    if with_row:
+        read = read_figures(docs, id_col, text_col, units, True)
     line = F.lit(float(curve[0]))
     for w, f in zip(curve[1:], FIGURES, strict=True):
         line = line + float(w) * F.col(f)
     score = 1 / (1 + F.exp(-line))
-    return read.select(F.col("id").alias(id_col), (~_training(F.col("id"))).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"), *(F.col(n).alias(c) for c, n in names.items() if c != id_col))
-
-
-def run_labelled(units):
-    """Figures of (id, label, text) rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(units.value)
-        for batch in batches:
-            found = np.array([scorer.figures(t) for t in batch.column(2).to_pylist()], dtype=np.float64).reshape(-1, len(FIGURES))
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(found[:, i]) for i in range(len(FIGURES)))], ["label", *FIGURES])
-
-    return run
+    return read.select(F.col("id").alias(id_col), (~_training(F.col("id"))).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"), *(["row"] if with_row else []))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
