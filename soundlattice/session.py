@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def local_cpus() -> int:
     return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared folder, or in a temporary one where none is set (local mode)."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not place:
+        place = tempfile.mkdtemp(prefix="soundlattice-")
+        spark.sparkContext.setCheckpointDir(place)
+    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
