@@ -1,10 +1,11 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base patterns give seed entities.  A token that holds a digit is a candidate; its lexical patterns are the words
-around it: the two before it, and the one before with the one after.  Spark scores the graph of patterns and instances in
-rounds: a pattern is as good as the mean belief in its instances, shrunk by a prior, and an instance is believed
-by the best of its patterns; seeds are believed fully.  Candidates that no base pattern covers and that stand in a
-pattern of high confidence are new spans, with their pattern's leading kind.
+Base patterns give seed entities.  Other tokens of the shape of a kind, such as a number of 12 digits or more without
+a valid checksum, are candidates of that kind.  The lexical patterns of either are the kind with the words around: the
+two before, and the one before with the one after, or the key of key=value.  Spark scores the graph of patterns and
+instances in rounds: a pattern is as good as the mean belief in its instances, shrunk by a prior, and an instance is
+believed by the best of its patterns; seeds are believed fully.  Candidates in a pattern of high confidence are new
+spans of their kind.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
+TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+SIGN = re.compile(r"[0-9@]")
+SHAPES = (("email", re.compile(r"[^@]+@[^@]+")), ("ip", re.compile(r"[0-9]+(?:[.:][0-9A-Fa-f]+){3,}")), ("card", re.compile(r"(?:[0-9]-?){12,}")), ("phone", re.compile(r"\+?(?:[0-9][().-]*){7,}")))
 GAPS = " \t\n\x0b\f\r"
 EDGE = ".,;:!?()[]{}\"'"
 #: Longest context word in a pattern; longer ones are known by their digest.
@@ -104,7 +107,7 @@ def _word_after(text: str, at: int) -> str:
 
 
 def patterns(text: str, begin: int, end: int) -> list[str]:
-    """The lexical patterns around text[begin:end]; a name and sign before a value, as in key=value, belong to them."""
+    """The lexical patterns around text[begin:end]."""
     one, at = _word_before(text, begin)
     two, _ = _word_before(text, at)
     after = _near(_word_after(text, end))
@@ -112,13 +115,20 @@ def patterns(text: str, begin: int, end: int) -> list[str]:
     return [f"{two} {one} _", f"{one} _ {after}"]
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int, list[str]]]:
-    """(seed kind or '', instance, start, end, patterns) of seeds and of tokens with digits outside them."""
-    out = [(k, text[a:b], a, b, patterns(text, a, b)) for k, a, b in base]
+def shape(token: str) -> str | None:
+    """The kind that a token looks like, if any."""
+    return next((kind for kind, form in SHAPES if form.fullmatch(token)), None)
+
+
+def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, bool, int, int, list[str]]]:
+    """(kind, is a seed, start, end, patterns) of seeds and of tokens outside them that look like a kind."""
+    out = [(k, True, a, b, [f"{k} {p}" for p in patterns(text, a, b)]) for k, a, b in base]
     at = 0
     covered = sorted((a, b) for _, a, b in base)
     for m in TOKEN.finditer(text):
         a, b = m.span()
+        if not SIGN.search(text, a, b):
+            continue
         while a < b and text[a] in EDGE:
             a += 1
         while b > a and text[b - 1] in EDGE:
@@ -126,27 +136,28 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, s
         while at < len(covered) and covered[at][1] <= a:
             at += 1
         if b > a and not (at < len(covered) and covered[at][0] < b):
-            sign = max(text.rfind("=", a, b - 1), text.rfind(":", a, b - 1))
-            if sign > a:  # key=value: the key is context
-                key = _near(text[a:sign])
-                out.append(("", text[sign + 1 : b], sign + 1, b, [f"{key} = _", f"{key} = _"]))
-            else:
-                out.append(("", text[a:b], a, b, patterns(text, a, b)))
+            sign = max(text.rfind("=", a, b - 1), text.find(":", a, b - 1))
+            key = _near(text[a:sign]) if sign > a and not DIGIT.search(text[a:sign]) else None
+            a = sign + 1 if key is not None else a
+            kind = shape(text[a:b])
+            if kind:
+                around = [f"{key} = _"] if key is not None else patterns(text, a, b)
+                out.append((kind, False, a, b, [f"{kind} {p}" for p in around]))
     return out
 
 
-def _shape(instance: str) -> str:
+def _digest(instance: str) -> str:
     """Instances are known by digest: personal data does not travel further than it must."""
     return hashlib.sha256(instance.encode()).hexdigest()[:24]
 
 
-READ = "rid string, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, found array<struct<kind:string,instance:string,first:bigint,last:bigint,patterns:array<string>>>"
+READ = "rid string, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, found array<struct<kind:string,seed:boolean,instance:string,first:bigint,last:bigint,patterns:array<string>>>"
 
 
 def read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Base figures and candidates of each document."""
     kind = docs.schema[id_col].dataType.simpleString()
-    item = pa.struct([("kind", pa.string()), ("instance", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("patterns", pa.list_(pa.string()))])
+    item = pa.struct([("kind", pa.string()), ("seed", pa.bool_()), ("instance", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("patterns", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,8 +166,8 @@ def read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 spans = base_spans(text)
                 counts.append([sum(k == s[0] for s in spans) for k in KINDS])
                 base.append(shown(spans))
-                rows = candidates(text, spans) if spans or DIGIT.search(text) else []
-                found.append([{"kind": k, "instance": _shape(i), "first": a, "last": b, "patterns": p} for k, i, a, b, p in rows])
+                rows = candidates(text, spans) if spans or "@" in text or DIGIT.search(text) else []
+                found.append([{"kind": k, "seed": s, "instance": _digest(text[a:b]), "first": a, "last": b, "patterns": p} for k, s, a, b, p in rows])
             columns = [pa.array([c[j] for c in counts], pa.int64()) for j in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(base, pa.string()), pa.array(found, pa.list_(item))], ["id", *(f"n_{k}" for k in KINDS), "base", "found"])
 
@@ -165,23 +176,19 @@ def read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def score_patterns(edges: DataFrame, rounds: int, prior: float) -> DataFrame:
-    """(pattern, confidence, kind) from edges (pattern, instance, kind); ``kind`` is '' for candidates.
+    """(pattern, confidence) from edges (pattern, instance, seed).
 
     Each round is two joins and two aggregations of the graph; an instance's belief is the best of its patterns.
     """
-    edges = materialize(edges.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")), "pii-edges")
-    belief = F.when(F.col("kind") != "", 1.0).otherwise(0.0)
-    beliefs = edges.groupBy("instance").agg(F.max(belief).alias("belief"))
+    edges = materialize(edges.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed")), "pii-edges")
+    beliefs = edges.groupBy("instance").agg(F.max("seed").alias("belief"))
     scores = None
     for _ in range(rounds):
         beliefs = materialize(beliefs, "pii-beliefs")
-        joined = edges.join(beliefs, "instance")
-        scores = materialize(joined.groupBy("pattern").agg((F.sum("belief") / (F.count("*") + prior)).alias("confidence")), "pii-scores")
-        seeds = edges.select("instance", belief.alias("belief"), F.lit(None).cast("string").alias("pattern"))
-        lifted = edges.join(scores, "pattern").select("instance", F.greatest(belief, F.col("confidence")).alias("belief"))
-        beliefs = lifted.unionByName(seeds.select("instance", "belief")).groupBy("instance").agg(F.max("belief").alias("belief"))
-    leading = edges.where("kind <> ''").groupBy("pattern", "kind").agg(F.sum("n").alias("n")).groupBy("pattern").agg(F.max(F.struct("n", "kind"))["kind"].alias("lead"))
-    return scores.join(leading, "pattern").select("pattern", "confidence", F.col("lead").alias("kind"))
+        scores = edges.join(beliefs, "instance").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + prior)).alias("confidence"))
+        scores = materialize(scores, "pii-scores")
+        beliefs = edges.join(scores, "pattern").groupBy("instance").agg(F.max(F.greatest("seed", "confidence")).alias("belief"))
+    return scores
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, prior: float = 2.0, confidence: float = 0.6) -> DataFrame:
@@ -193,15 +200,13 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     among many other tokens, discovers nothing.
     """
     rows = materialize(read(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "pii-read")
-    seen = rows.select("rid", F.posexplode("found").alias("nth", "f")).select("rid", "nth", "f.kind", "f.instance", F.explode(F.array_distinct("f.patterns")).alias("pattern"))
-    scored = score_patterns(seen.select("pattern", "instance", "kind"), rounds, prior).where(F.col("confidence") >= confidence)
-    best = seen.where("kind = ''").join(materialize(scored, "pii-patterns").withColumnRenamed("kind", "new_kind"), "pattern")
-    best = best.groupBy("rid", "nth").agg(F.max(F.struct("confidence", "new_kind"))["new_kind"].alias("new_kind"))
-    new = materialize(best.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("nth", "new_kind"))).alias("new")), "pii-new")
+    seen = rows.select("rid", F.posexplode("found").alias("nth", "f")).select("rid", "nth", "f.seed", "f.instance", F.explode(F.array_distinct("f.patterns")).alias("pattern"))
+    good = materialize(score_patterns(seen.select("pattern", "instance", "seed"), rounds, prior).where(F.col("confidence") >= confidence).select("pattern"), "pii-patterns")
+    new = materialize(seen.where("NOT seed").join(good, "pattern").groupBy("rid").agg(F.collect_set("nth").alias("new")), "pii-new")
     order = F.array(*(F.lit(k) for k in KINDS))
     found = rows.join(new, "rid", "left").withColumn(
         "all",
-        F.expr("filter(transform(found, (f, i) -> struct(f.first AS first, f.last AS last, CASE WHEN f.kind <> '' THEN f.kind ELSE element_at(new, i) END AS kind)), x -> x.kind IS NOT NULL)"),
+        F.expr("filter(transform(found, (f, i) -> struct(f.first AS first, f.last AS last, CASE WHEN f.seed OR coalesce(array_contains(new, i), false) THEN f.kind END AS kind)), x -> x.kind IS NOT NULL)"),
     )
     found = found.withColumn("order", order)
     placed = F.expr("array_sort(transform(all, x -> struct(x.first AS first, array_position(order, x.kind) AS k, x.last AS last, x.kind AS kind)))")
