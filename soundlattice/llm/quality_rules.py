@@ -78,6 +78,11 @@ def figure(rule: str) -> Column:
     return F.when(F.col(below) > 0, F.col(above) / F.col(below)).otherwise(F.lit(0.0))
 
 
+def _first_exceeded(grid: Column, value: Column) -> Column:
+    """The place, from 1, of the first of descending cutoffs that is below the value; past the end if none is."""
+    return F.size(F.filter(grid, lambda c: c >= value)) + 1
+
+
 def _log_gamma(x: str) -> str:
     """ln gamma(x) for x >= 1 by Stirling's series at x + 8; its error is below 1e-13."""
     y = f"({x} + 8)"
@@ -104,8 +109,7 @@ def calibrate(measured: DataFrame, labels: DataFrame, id_col: str, label_col: st
     rules = []
     for rule, (_, lenient, strict) in RULES.items():
         grid = F.array(*(F.lit(c) for c in cutoffs(lenient, strict)))
-        value = figure(rule)
-        rules.append(F.struct(F.lit(rule).alias("rule"), (F.size(F.filter(grid, lambda c, v=value: c >= v)) + 1).alias("first")))
+        rules.append(F.struct(F.lit(rule).alias("rule"), _first_exceeded(grid, figure(rule)).alias("first")))
     held = measured.join(good, "id").select("stratum", F.explode(F.array(*rules)).alias("r"))
     counts = held.groupBy("stratum", "r.rule", "r.first").agg(F.count("*").alias("c"))
     tests = materialize(counts.groupBy("stratum", "rule").agg(F.sum("c").alias("n_good"), F.collect_list(F.struct("first", "c")).alias("hits")), "quality-counts")
