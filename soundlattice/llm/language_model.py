@@ -41,6 +41,8 @@ LANES = 256
 SCORE_LANES = 512
 #: Documents, first by hash order, that fit the start of training.
 WARM_DOCS = 500
+#: Documents that a worker holds as tokens at once.
+BATCH_DOCS = 4000
 #: Floats of a weight vector in one row.
 CHUNK = 4096
 END = b"\n"  # no word holds a line feed
@@ -55,6 +57,12 @@ def tokens_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_DOCS):
+            yield batch.slice(at, BATCH_DOCS)
+
+
 class Network:
     """The weights as one float32 vector with named views, and the passes over windows."""
 
@@ -341,7 +349,7 @@ def train_everywhere(training: DataFrame, known, start: np.ndarray) -> np.ndarra
         net = Network(known.value[1])
         squares = np.full_like(net.flat, 1e-4)
         seen = 0
-        for batch in batches:
+        for batch in parts(batches):
             ids = [known.value[0].encode(tokens_of(t)) for t in batch.column(0).to_pylist()]
             seen += train(net, ids, squares, 0.05)
         if seen:
@@ -393,7 +401,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         words, flat = ready.value
         net = Network(flat)
         base_of, rest_of = words.base, words.rest
-        for batch in batches:
+        for batch in parts(batches):
             ids, n_known, base, tail, open_words = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = tokens_of(text)
