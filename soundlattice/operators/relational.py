@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from soundlattice.functions import text as T
+from soundlattice.session import scratch
 
 
 def union_by_name(*parts: DataFrame) -> DataFrame:
@@ -57,9 +58,12 @@ def worklist(albums: DataFrame, progress: DataFrame, failures: DataFrame, order:
 def batches(df: DataFrame, value: str, order: str, size: int = 100) -> DataFrame:
     """(batch, items): ordered values in lists of ``size``.
 
-    Positions come from per-range counts, so only one row for each range of ``order`` meets in one task.
+    Positions come from per-range counts, so only one row for each range of ``order`` meets in one task.  Ranges
+    are drawn anew each time they are computed, so they are written once.
     """
-    spread = df.select(value, order).repartitionByRange(order).withColumn("__part", F.spark_partition_id())
+    path = scratch(df.sparkSession, "ranges")
+    df.select(value, order).repartitionByRange(order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    spread = df.sparkSession.read.parquet(path)
     inside = spread.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
     counts = spread.groupBy("__part").agg(F.count("*").alias("c"))
     before = counts.select("__part", (F.sum("c").over(Window.orderBy("__part")) - F.col("c")).alias("__before"))
