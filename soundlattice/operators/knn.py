@@ -38,8 +38,16 @@ def prepare(df: DataFrame, dims: dict[str, float]) -> DataFrame:
     return df.withColumns({f"{f}__norm": V.norm(F.col(f)) for f in dims})
 
 
-def query_blocks(queries: DataFrame, columns: list[str], order: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The query set as rows of (block, queries); most sets are one block."""
+def few(queries: DataFrame) -> bool:
+    """Whether the query set is one block."""
+    return queries.limit(BLOCK_ROWS + 1).count() <= BLOCK_ROWS
+
+
+def query_blocks(queries: DataFrame, columns: list[str], order: str, block_rows: int | None = None) -> DataFrame:
+    """The query set as rows of (block, queries).  Most sets are one block, which is there even if it is empty."""
+    block_rows = block_rows or BLOCK_ROWS
+    if few(queries):
+        return queries.agg(F.lit(0).alias("__block"), F.collect_list(F.struct(*columns)).alias("__queries"))
     numbered = queries.withColumn("__block", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / block_rows))
     return numbered.groupBy("__block").agg(F.collect_list(F.struct(*columns)).alias("__queries"))
 
@@ -68,7 +76,7 @@ def best_distance(dataset: DataFrame, queries: DataFrame, id_col: str, num: dict
     columns = [*num, *dim, *(f"{f}__norm" for f in dim)]
     blocks = query_blocks(queries.withColumn("__order", F.col(id_col)), columns or [id_col], "__order")
     scored = dataset.crossJoin(F.broadcast(blocks)).withColumn("__best", F.array_min(F.transform("__queries", pair_distance(num, dim, numeric, dimensional))))
-    if queries.limit(BLOCK_ROWS + 1).count() <= BLOCK_ROWS:
+    if few(queries):
         best = scored
     else:
         best = scored.groupBy(id_col, *(k for k in keep if k != id_col)).agg(F.min("__best").alias("__best"))
