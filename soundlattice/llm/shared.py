@@ -50,3 +50,9 @@ def ascii_lower(column):
 def whole_row(df: DataFrame, wanted: bool = True) -> list:
     """The input row as one struct column, so that its names meet no others; an empty list if not wanted."""
     return [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if wanted else []
+
+
+def chosen(wanted: int, total: int, *columns: str):
+    """A condition that about ``wanted`` of ``total`` rows meet, by a hash of their values: nothing is sorted."""
+    share = min(1.0, wanted / max(1, total))
+    return F.pmod(F.xxhash64(F.lit(17), *columns), F.lit(1 << 30)) < int(share * (1 << 30))

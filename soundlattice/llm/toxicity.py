@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soundlattice.llm.shared import materialize, text_or_empty, whole_row
+from soundlattice.llm.shared import chosen, materialize, text_or_empty, whole_row
 
 # General English words of each class.
 INSULTS = ["bastard", "clown", "creep", "disgusting", "dumb", "fool", "garbage", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "pig", "scum", "stupid", "trash", "ugly", "vermin", "worthless"]
@@ -39,7 +39,7 @@ MIN_RATIO = 10.0
 #: Beginnings of words that may be units, in characters.
 STEMS = (4, 5, 6)
 MAX_UNIT_CHARS = 24
-#: Labelled rows, first by hash order, that fit the logistic curve.
+#: Labelled rows that fit the logistic curve, about, chosen by hash.
 FIT_ROWS = 20_000
 FIGURES = ("total", "largest", "matched", "share")
 
@@ -231,10 +231,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     marks = labels.where(F.col(label_col).isNotNull() & _training(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    labelled = docs.where(_training(F.col(id_col))).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(marks, "id")
+    labelled = docs.where(_training(F.col(id_col))).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(marks.hint("merge"), "id")  # one plan at every size: labels grow with the documents
     units = spark.sparkContext.broadcast(learn_units(labelled))  # MAX_UNITS entries at most
     read = materialize(read_figures(docs, id_col, text_col, units), "toxic-figures")
-    fit = read.where(_training(F.col("id"))).join(marks, "id").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("label", *FIGURES).toPandas()
+    pairs = read.where(_training(F.col("id"))).join(marks, "id")
+    fit = pairs.where(chosen(FIT_ROWS, marks.count(), "id")).limit(2 * FIT_ROWS).select("label", *FIGURES).toPandas()
     if 0 < (fit["label"] == 1).sum() < len(fit):
         curve = fit_logistic(fit[list(FIGURES)].to_numpy(), (fit["label"] == 1).to_numpy(dtype=float)).tolist()
     else:
