@@ -678,6 +678,26 @@ def ml_feature_name(spark, sf):
     return registry(spark).select("name", "feature")
 
 
+@query("ml_task_dispatch")
+def ml_task_dispatch(spark, sf):
+    """Each registered head and feature function with the kind of stage that runs it."""
+    tasks = [(n, models.stage_kind(n)) for n in models.REGISTRY] + [(n, models.stage_kind(f)) for n, (f, _) in features.FEATURES.items()]
+    return spark.createDataFrame(tasks, "task string, kind string")
+
+
+@query("cfg_conflict", "SELECT e AS expand, n AS normalize, e AND n AS refused FROM (VALUES (false), (true)) a(e), (VALUES (false), (true)) b(n)")
+def cfg_conflict(spark, sf):
+    rows = []
+    for expand in (False, True):
+        for normalize in (False, True):
+            try:
+                knn.check_config(expand, normalize)
+                rows.append((expand, normalize, False))
+            except ValueError:
+                rows.append((expand, normalize, True))
+    return spark.createDataFrame(rows, "expand boolean, normalize boolean, refused boolean")
+
+
 # Streams ---------------------------------------------------------------------------------------------------------------
 
 DAYS = "SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2"
