@@ -19,6 +19,7 @@ resolved in place; the rest meet their counts in a join, whose most frequent key
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter
@@ -29,22 +30,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soundlattice.llm.shared import materialize, text_or_empty
+from soundlattice.llm.shared import chosen, materialize, text_or_empty
 
-PER_CLASS, HEAD_CLASSES, TAIL = 64, 32, 48
+PER_CLASS, HEAD_CLASSES, TAIL = 32, 32, 32
 HEAD = PER_CLASS * HEAD_CLASSES
 #: Tokens whose counts are sent to the workers, at most.
 LOCAL = 200_000
 HIDDEN = 16
 WINDOW = 32
 LANES = 256
-SCORE_LANES = 512
-#: Documents, first by hash order, that fit the start of training.
+SCORE_LANES = 1024
+#: Documents that fit the start of training, about, chosen by hash.
 WARM_DOCS = 500
 #: Documents that a worker holds as tokens at once.
 BATCH_DOCS = 4000
 #: Floats of a weight vector in one row.
-CHUNK = 4096
+CHUNK = 512
+#: Logits are kept within this distance of 0, so that no exponential is denormal, which would be slow.
+REACH = 30
 END = b"\n"  # no word holds a line feed
 
 
@@ -112,8 +115,9 @@ class Network:
         """ln P(class) + ln P(token in class) for rows of hidden states; with ``grads``, also d(-sum)/d(hs)."""
         w = self.view
         rows = np.arange(len(hs))
-        logits = hs @ w["wc"] + w["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
+        logits = hs @ w["wc"]
+        logits += w["bc"]
+        np.clip(logits, -REACH, REACH, out=logits)
         taken = logits[rows, cls]
         np.exp(logits, out=logits)
         total = logits.sum(axis=1)
@@ -132,8 +136,9 @@ class Network:
             if not len(at):
                 continue
             seen = hs[at]
-            inner = seen @ w["wo"][c].T + w["bo"][c]
-            inner -= inner.max(axis=1, keepdims=True)
+            inner = seen @ w["wo"][c].T
+            inner += w["bo"][c]
+            np.clip(inner, -REACH, REACH, out=inner)
             k = np.arange(len(at))
             taken = inner[k, word[at]]
             np.exp(inner, out=inner)
@@ -179,17 +184,21 @@ class Network:
         return flat, h_end
 
 
-def lanes_of(ids: list[np.ndarray], lanes: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Documents dealt to lanes, longest first to the shortest lane: (tokens, document starts), longest lane first."""
-    import heapq
+def lanes_of(lengths: list[int], lanes: int) -> list[list[int]]:
+    """Documents dealt to lanes, longest first to the shortest lane; longest lane first.
 
-    heap = [(0, i) for i in range(min(lanes, len(ids)))]
+    Fewer lanes are used where one document is so long that most would stay empty.
+    """
+    if not lengths:
+        return []
+    lanes = max(1, min(lanes, len(lengths), 5 * sum(lengths) // max(lengths)))
+    heap = [(0, i) for i in range(lanes)]
     dealt: list[list[int]] = [[] for _ in heap]
-    for d in sorted(range(len(ids)), key=lambda d: -len(ids[d])):
+    for d in sorted(range(len(lengths)), key=lambda d: -lengths[d]):
         load, lane = heapq.heappop(heap)
         dealt[lane].append(d)
-        heapq.heappush(heap, (load + len(ids[d]), lane))
-    return sorted(([d for d in lane] for lane in dealt if lane), key=lambda lane: -sum(len(ids[d]) for d in lane))
+        heapq.heappush(heap, (load + lengths[d], lane))
+    return sorted((lane for lane in dealt if lane), key=lambda lane: -sum(lengths[d] for d in lane))
 
 
 def windows(ids: list[np.ndarray], lanes: int) -> Iterator[tuple]:
@@ -198,32 +207,32 @@ def windows(ids: list[np.ndarray], lanes: int) -> Iterator[tuple]:
     The input of a step is the token before, the end at a document's start.  ``live`` lanes have tokens left;
     lanes are ordered by length, so those that have ended drop off the end.
     """
-    dealt = lanes_of(ids, lanes)
+    dealt = lanes_of([len(x) for x in ids], lanes)
     if not dealt:
         return
     offset = np.cumsum([0, *(len(x) for x in ids)])
     length = np.array([sum(len(ids[d]) for d in lane) for lane in dealt])
-    y_lane = [np.concatenate([ids[d] for d in lane]) for lane in dealt]
-    at_lane = [np.concatenate([np.arange(offset[d], offset[d + 1]) for d in lane]) for lane in dealt]
-    starts = [np.cumsum([0, *(len(ids[d]) for d in lane)])[:-1] for lane in dealt]
-    for begin in range(0, int(length[0]), WINDOW):
+    tokens = np.zeros((int(length[0]), len(dealt)), np.int32)
+    places = np.full(tokens.shape, -1, np.int32)
+    starts = np.zeros(tokens.shape, bool)
+    for j, lane in enumerate(dealt):
+        at = 0
+        for d in lane:
+            to = at + len(ids[d])
+            tokens[at:to, j] = ids[d]
+            places[at:to, j] = np.arange(offset[d], offset[d + 1])
+            starts[at, j] = True
+            at = to
+    for begin in range(0, len(tokens), WINDOW):
         live = int((length > begin).sum())
-        steps = min(WINDOW, int(length[0]) - begin)
-        y = np.zeros((steps, live), np.int32)
-        x = np.zeros((steps, live), np.int32)
-        where = np.full((steps, live), -1, np.int64)
-        reset = np.zeros((steps, live), bool)
-        for j in range(live):
-            n = min(steps, int(length[j]) - begin)
-            y[:n, j] = y_lane[j][begin : begin + n]
-            where[:n, j] = at_lane[j][begin : begin + n]
-            x[1:n, j] = y_lane[j][begin : begin + n - 1]
-            if begin:
-                x[0, j] = y_lane[j][begin - 1]
-            a, b = np.searchsorted(starts[j], [begin, begin + n])
-            reset[starts[j][a:b] - begin, j] = True
+        y = tokens[begin : begin + WINDOW, :live]
+        reset = starts[begin : begin + WINDOW, :live]
+        x = np.zeros_like(y)
+        x[1:] = y[:-1]
+        if begin:
+            x[0] = tokens[begin - 1, :live]
         x[reset] = 0
-        yield x, reset, y, where, live
+        yield x, reset, y, places[begin : begin + WINDOW, :live], live
 
 
 def split_ids(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,6 +253,7 @@ def train(net: Network, ids: list[np.ndarray], squares: np.ndarray, rate: float,
         norm = float(np.sqrt((grad * grad).sum()))
         if norm > 1:
             grad /= norm
+        grad[np.abs(grad) < 1e-15] = 0  # its square would be denormal
         squares += grad * grad
         net.flat -= rate * grad / (np.sqrt(squares) + 1e-6)
         seen += int(weight.sum())
@@ -296,7 +306,7 @@ class Vocabulary:
     """What the workers know of the counts; bounded by LOCAL and TAIL whatever the corpus."""
 
     def __init__(self, local: list[tuple[bytes, int]], total: int, distinct: int, tail: dict[int, tuple[float, int]]):
-        self.total, self.distinct = total, distinct
+        self.total, self.distinct, self.local = total, distinct, [r for r in local if r[0] == END]
         ranked = sorted((r for r in local if r[0] != END), key=lambda r: (-r[1], r[0]))
         ends = [r for r in local if r[0] == END] or [(END, 0)]
         head = ends + ranked[: HEAD - 1]
@@ -387,7 +397,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = materialize(count_tokens(training.select("text")), "lm-counts")
     words = vocabulary(counts)
     net = Network(priors=words.priors)
-    warm = training.orderBy(F.xxhash64("id"), "id").limit(WARM_DOCS).select("text").collect()
+    ends = next((n for w, n in words.local if w == END), 0)
+    warm = training.where(chosen(WARM_DOCS, ends, "id", "text")).limit(2 * WARM_DOCS).select("text").collect()
     squares = np.full_like(net.flat, 1e-6)
     train(net, [words.encode(tokens_of(bytes(r["text"]))) for r in warm], squares, 0.05, 64)
     del warm
