@@ -323,15 +323,28 @@ class Vocabulary:
         self.unseen = 0.5 * (1 + np.maximum(once, 0))
         self.mass = np.maximum(mass, 0) + self.unseen
         self.floor = total + 0.5 * (distinct + 1)
-        self.base = {w: math.log10((n + 0.5) / self.floor) for w, n in local}
-        self.rest = {w: math.log10((n + 0.5) / self.mass[tail_class(w)]) for w, n in ranked[HEAD - 1 :]}
+        # One lookup for each token: its place here, and arrays of what is known of it.
+        self.place = {w: i for i, (w, _) in enumerate(local)}
+        self.id_of = np.array([self.ids[w] if w in self.ids else HEAD + tail_class(w) for w, _ in local], np.int32)
+        self.base_of = np.array([math.log10((n + 0.5) / self.floor) for _, n in local])
+        self.rest_of = np.array([0.0 if w in self.ids else math.log10((n + 0.5) / self.mass[tail_class(w)]) for w, n in local])
         share = counts.reshape(HEAD_CLASSES, PER_CLASS) + 0.5
         classes = np.concatenate([share.sum(axis=1), self.mass])
         self.priors = (np.log(classes / classes.sum()), np.log(share / share.sum(axis=1, keepdims=True)))
 
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words and the end, and their places among the local ones, -1 for others."""
+        get = self.place.get
+        places = np.array([get(w, -1) for w in words] + [get(END, -1)], np.int32)
+        ids = np.zeros(len(places), np.int32)
+        known = places >= 0
+        ids[known] = self.id_of[places[known]]
+        others = np.flatnonzero(~known)
+        ids[others] = [HEAD + tail_class(words[i]) if i < len(words) else 0 for i in others.tolist()]
+        return ids, places
+
     def encode(self, words: list[bytes]) -> np.ndarray:
-        get = self.ids.get
-        return np.array([i if (i := get(w, -1)) >= 0 else HEAD + zlib.crc32(w[-2:]) % TAIL for w in words] + [0], np.int32)
+        return self.look_up(words)[0]
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -411,24 +424,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = ready.value
         net = Network(flat)
-        base_of, rest_of = words.base, words.rest
         for batch in parts(batches):
             ids, n_known, base, tail, open_words = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = tokens_of(text)
-                ids.append(words.encode(found))
-                known_here, b, s, missing = 0, 0.0, 0.0, []
-                for w in [*found, END]:
-                    x = base_of.get(w)
-                    if x is None:
-                        missing.append(w)
-                    else:
-                        known_here += 1
-                        b += x
-                        s += rest_of.get(w, 0.0)
-                n_known.append(known_here)
-                base.append(b)
-                tail.append(s)
+                own, places = words.look_up(found)
+                ids.append(own)
+                here = places[places >= 0]
+                n_known.append(len(here))
+                base.append(float(words.base_of[here].sum()))
+                tail.append(float(words.rest_of[here].sum()))
+                missing = [found[i] if i < len(found) else END for i in np.flatnonzero(places < 0).tolist()]
                 open_words.append([{"word": w, "times": n} for w, n in Counter(missing).items()])
             score = score_ids(net, ids) / math.log(10) + np.array(tail)
             yield pa.RecordBatch.from_arrays(
