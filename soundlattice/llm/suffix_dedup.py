@@ -12,9 +12,10 @@ from the anchor, is in the cover: the strings of 192 bytes from there are ranked
 then a head of at most seven bytes, a cover rank, and a tail, so long ties never compare bytes, and a bucket is
 ordered one column at a time.  All comparisons are exact; checksums only choose buckets.
 
-Memory: a task holds some thousand bucket members, a row of 360 bytes each.  The suffixes of a bucket above
-``BUCKET_ROWS`` members are known by 128-bit digests instead, counted in a distributed aggregation.  Copies of a
-whole text are folded first.
+Memory: a task holds some thousand bucket members, a row of 360 bytes each.  Anchors are counted first, so the
+members of a bucket above ``BUCKET_ROWS`` never meet in one task: their suffixes are known by 128-bit hashes where
+their texts are read, and an aggregation that combines before its shuffle counts these.  Copies of a whole text are
+folded first.
 """
 
 from __future__ import annotations
@@ -35,31 +36,35 @@ LEFT = SPAN - GRAM  # columns before an anchor
 WIDTH = 360
 BLOCK = 8
 COVERED = 192
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4096
 BATCH_ROWS = 8_000
 #: Bytes that are hashed at once, whole texts at least.
 SLAB = 1 << 20
 PLACE = np.uint64((1 << 32) - 1)
 
 
-def _mix(a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
-    out = a * np.uint64(0x9E3779B97F4A7C15 + 2 * level) + b
+def _mix(a: np.ndarray, b: np.ndarray, level: int, seed: int = 0) -> np.ndarray:
+    out = a * np.uint64(0x9E3779B97F4A7C15 + 2 * level + 1024 * seed) + b
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
     return out
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all grams of GRAM = 32 + 16 bytes."""
+def string_hashes(data: np.ndarray, sizes: tuple[int, ...], seed: int = 0) -> np.ndarray:
+    """64-bit hashes of all strings of sum(sizes) bytes; sizes are descending powers of two."""
     h = data.astype(np.uint64) + np.uint64(1)
-    size, sixteen = 1, None
-    while size < 32:
-        h = _mix(h[:-size], h[size:], size)
+    levels, size = {1: h}, 1
+    while size < sizes[0]:
+        h = _mix(h[:-size], h[size:], size, seed)
         size *= 2
-        if size == 16:
-            sixteen = h
-    return _mix(h[: len(h) - 16], sixteen[32:], 48)
+        if size in sizes:
+            levels[size] = h
+    out, done = levels[sizes[0]], sizes[0]
+    for size in sizes[1:]:
+        out = _mix(out[: len(data) - done - size + 1], levels[size][done:], done + size, seed)
+        done += size
+    return out
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -70,7 +75,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     empty = np.zeros(0, np.int64)
     if len(data) < SPAN:
         return empty.view(np.uint64), empty, empty, empty
-    h = gram_hashes(data)
+    h = string_hashes(data, (32, 16))
     key = (h & ~PLACE) | (PLACE - np.arange(len(h), dtype=np.uint64))
     size = 1
     low = key
@@ -111,7 +116,6 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             h, place, _, _ = anchors(data, ends)
             if len(h):
                 text = np.searchsorted(starts, place, "right") - 1
-                # Two suffix ranges of one text may share an anchor at the seam of nothing: places are distinct.
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(th[rows[text]]), pa.array(n[rows[text]]), pa.array(place - starts[text])], ["h", "th", "n", "pos"])
 
 
@@ -140,6 +144,27 @@ def _emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
+def _emit_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (th, n, text, places of crowded anchors): (th, n, first, last, wa, wb), a row for each of their suffixes."""
+    for batch in batches:
+        th, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        wanted = batch.column(3)
+        for rows, starts, data, ends in slabs(batch.column(2)):
+            _, place, first, last = anchors(data, ends)
+            if not len(place):
+                continue
+            lists = [np.asarray(wanted[int(r)].values) for r in rows]
+            keep = np.isin(place, np.concatenate([x + s for x, s in zip(lists, starts, strict=True)]))
+            first, size = first[keep], last[keep] - first[keep] + 1
+            if not len(first):
+                continue
+            at = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            text = np.searchsorted(starts, at, "right") - 1
+            wa, wb = (string_hashes(data, (128, 64, 8), seed)[at].view(np.int64) for seed in (1, 2))
+            begin = at - starts[text]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (th[rows[text]], n[rows[text]], begin, begin + SPAN, wa, wb)], ["th", "n", "first", "last", "wa", "wb"])
+
+
 def cover_ranks(table: np.ndarray) -> tuple[np.ndarray, int]:
     """Ranks of the strings of COVERED bytes from each cover column of rows of WIDTH bytes, and their number."""
     blocks = table.view("<u8")
@@ -185,15 +210,10 @@ def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, after - 1
 
 
-FOUND = "th bigint, n bigint, first bigint, last bigint, wa bigint, wb bigint"
-
-
-def _order_buckets(bucket_rows: int):
-    """A mapInArrow function over contexts sorted by h: intervals, or digests of the suffixes of large buckets."""
-
-    def out(th, n, first, last, wa=None, wb=None):
-        none = [None] * len(th)
-        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (th, n, first, last)), pa.array(none if wa is None else wa, pa.int64()), pa.array(none if wb is None else wb, pa.int64())], ["th", "n", "first", "last", "wa", "wb"])
+def _order_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From contexts sorted by h: (th, n, first, last), the bytes of repeated suffixes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
 
     def done(part: pa.Table) -> Iterator[pa.RecordBatch]:
         lo, hi, th, n, pos = (part.column(c).to_numpy() for c in ("lo", "hi", "th", "n", "pos"))
@@ -203,52 +223,23 @@ def _order_buckets(bucket_rows: int):
         row, first, last = _runs(repeated(table, lo, hi))
         if len(row):
             start = pos[row] - LEFT
-            yield out(th[row], n[row], start + first, start + last + SPAN)
-
-    def digests(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        for batch in part.to_batches(max_chunksize=500):
-            rows: list[tuple] = []
-            for x in batch.to_pylist():
-                for c in range(x["lo"], x["hi"] + 1):
-                    d = hashlib.blake2b(x["bytes"][c - x["lo"] : c - x["lo"] + SPAN], digest_size=16, key=c.to_bytes(2, "little")).digest()
-                    at = x["pos"] - LEFT + c
-                    rows.append((x["th"], x["n"], at, at + SPAN, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
-            yield out(*zip(*rows, strict=True))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size, large = 0, None
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                h = part.column(0).to_numpy(zero_copy_only=False)
-                if large is not None:
-                    more = int((h == large).sum())  # rows are sorted: they come first
-                    if more:
-                        yield from digests(pa.Table.from_batches([part.slice(0, more)]))
-                    if more == len(h):
-                        continue
-                    part, h, large = part.slice(more), h[more:], None
-                held.append(part)
-                size += len(h)
-                if size < BATCH_ROWS:
-                    continue
-                table = pa.Table.from_batches(held)
-                h = table.column("h").to_numpy()
-                cut = len(h) - int((h == h[-1]).sum())
-                if cut:
-                    yield from done(table.slice(0, cut))
-                rest = table.slice(cut)
-                if len(rest) > bucket_rows:
-                    large = h[-1]
-                    yield from digests(rest)
-                    held, size = [], 0
-                else:
-                    held, size = rest.combine_chunks().to_batches(), len(rest)
-        if size:
-            yield from done(pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (th[row], n[row], start + first, start + last + SPAN)], ["th", "n", "first", "last"])
 
-    return run
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            held.append(batch.slice(at, BATCH_ROWS))
+            size += held[-1].num_rows
+            if size < BATCH_ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            h = table.column("h").to_numpy()
+            cut = len(h) - int((h == h[-1]).sum())
+            if cut:
+                yield from done(table.slice(0, cut))
+                rest = table.slice(cut)
+                held, size = rest.combine_chunks().to_batches(), len(rest)
+    if size:
+        yield from done(pa.Table.from_batches(held))
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,20 +273,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.octet_length(text).cast("long").alias("n"), text.cast("binary").alias("text"))
     found = rows.where(F.col("n") >= SPAN).select("th", "n", "text").mapInArrow(_emit_anchors, "h bigint, th bigint, n bigint, pos bigint")
     key = F.xxhash64("th", "n", "pos")
-    several = found.groupBy("h").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select("h")
+    several = found.groupBy("h").agg(F.min(key).alias("a"), F.max(key).alias("b"), F.count("*").alias("members")).where("a <> b").select("h", (F.col("members") > bucket_rows).alias("crowded"))
     several = materialize(several, "suffix-anchors")
-    places = found.join(several, "h", "left_semi").groupBy("th", "n").agg(F.collect_set("pos").alias("places"))
+    places = found.join(several, "h").groupBy("th", "n").agg(F.collect_set(F.when(~F.col("crowded"), F.col("pos"))).alias("places"), F.collect_set(F.when(F.col("crowded"), F.col("pos"))).alias("crowded"))
     texts = rows.groupBy("th", "n").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    known = texts.join(places, ["th", "n"], "left").select("th", "n", "copies", F.sha2("text", 256).alias("sha"), F.when(F.col("places").isNotNull(), F.col("text")).alias("text"), "places")
+    known = texts.join(places, ["th", "n"], "left").select("th", "n", "copies", F.sha2("text", 256).alias("sha"), F.when(F.col("places").isNotNull(), F.col("text")).alias("text"), "places", "crowded")
     known = materialize(known, "suffix-texts")
 
-    contexts = known.where("places IS NOT NULL").select("th", "n", "text", "places").mapInArrow(_emit_contexts, "h bigint, th bigint, n bigint, pos bigint, lo int, hi int, bytes binary")
-    spans = materialize(contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_order_buckets(bucket_rows), FOUND), "suffix-spans")
-    crowded = spans.where("wa IS NOT NULL")
-    intervals = spans.where("wa IS NULL").select("th", "n", "first", "last")
-    if not crowded.isEmpty():
-        twice = materialize(crowded.groupBy("wa", "wb").agg(F.count("*").alias("c")).where("c > 1").select("wa", "wb"), "suffix-digests")
-        intervals = intervals.unionByName(crowded.join(twice, ["wa", "wb"], "left_semi").select("th", "n", "first", "last"))
+    contexts = known.where("size(places) > 0").select("th", "n", "text", "places").mapInArrow(_emit_contexts, "h bigint, th bigint, n bigint, pos bigint, lo int, hi int, bytes binary")
+    spans = "th bigint, n bigint, first bigint, last bigint"
+    intervals = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_order_buckets, spans)
+    hashed = known.where("size(crowded) > 0").select("th", "n", "text", "crowded").mapInArrow(_emit_hashes, f"{spans}, wa bigint, wb bigint")
+    twice = materialize(hashed.groupBy("wa", "wb").agg(F.count("*").alias("c")).where("c > 1").select("wa", "wb"), "suffix-hashes")
+    intervals = intervals.unionByName(hashed.join(twice, ["wa", "wb"], "left_semi").select("th", "n", "first", "last"))
     listed = intervals.groupBy("th", "n").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     single = known.where("places IS NOT NULL AND copies = 1").select("th", "n", "text").join(listed, ["th", "n"], "left").select("th", "n", "text", "spans")
     cleaned = single.mapInArrow(_clean, "th bigint, n bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -399,7 +399,7 @@ def plain_removal(texts, span=200):
     return out
 
 
-@pytest.mark.parametrize("bucket_rows", [50_000, 4])
+@pytest.mark.parametrize("bucket_rows", [4096, 4])
 def test_suffix_dedup(spark, odd, monkeypatch, bucket_rows):
     if bucket_rows < 100:
         monkeypatch.setattr(suffix_dedup, "BATCH_ROWS", 3)
