@@ -2,7 +2,7 @@
 
 Base patterns give seed entities.  Other tokens of the shape of a kind, such as a number of 12 digits or more without
 a valid checksum, are candidates of that kind.  The lexical patterns of either are the kind with the words around: the
-two before, and the one before with the one after, or the key of key=value.  Spark scores the graph of patterns and
+two before, and the one before with the one after, or the key of key=value and key:value.  Spark scores the graph of patterns and
 instances in rounds: a pattern is as good as the mean belief in its instances, shrunk by a prior, and an instance is
 believed by the best of its patterns; seeds are believed fully.  Candidates in a pattern of high confidence are new
 spans of their kind.
@@ -33,6 +33,9 @@ SIGN = re.compile(r"[0-9@]")
 SHAPES = (("email", re.compile(r"[^@]+@[^@]+")), ("ip", re.compile(r"[0-9]+(?:[.:][0-9A-Fa-f]+){3,}")), ("card", re.compile(r"(?:[0-9]-?){12,}")), ("phone", re.compile(r"\+?(?:[0-9][().-]*){7,}")))
 GAPS = " \t\n\x0b\f\r"
 EDGE = ".,;:!?()[]{}\"'"
+#: What may stand between a key's sign and its value, and what ends a key on its left.
+OPENING = "([{\"'"
+KEY_END = GAPS + "&;,?|"
 #: Longest context word in a pattern; longer ones are known by their digest.
 CONTEXT_CHARS = 32
 
@@ -106,8 +109,25 @@ def _word_after(text: str, at: int) -> str:
     return text[at:end]
 
 
+def _key_before(text: str, at: int) -> str | None:
+    """The key of a value that starts at ``at``, if = or : stands there; a key has no digits."""
+    while at and text[at - 1] in OPENING:
+        at -= 1
+    if not at or text[at - 1] not in "=:":
+        return None
+    begin = end = at - 1
+    while begin and text[begin - 1] not in KEY_END:
+        begin -= 1
+        if SIGN.match(text, begin):
+            return None
+    return _near(text[begin:end]) or None
+
+
 def patterns(text: str, begin: int, end: int) -> list[str]:
-    """The lexical patterns around text[begin:end]."""
+    """The lexical patterns around text[begin:end], of seeds and candidates alike."""
+    key = _key_before(text, begin)
+    if key is not None:
+        return [f"{key} = _"]
     one, at = _word_before(text, begin)
     two, _ = _word_before(text, at)
     after = _near(_word_after(text, end))
@@ -120,6 +140,18 @@ def shape(token: str) -> str | None:
     return next((kind for kind, form in SHAPES if form.fullmatch(token)), None)
 
 
+def _value_start(text: str, begin: int, end: int) -> int:
+    """Where the value of the token text[begin:end] starts: after the last = or : before its first digit or @."""
+    first = SIGN.search(text, begin, end).start()
+    sign = max(text.rfind("=", begin, first), text.rfind(":", begin, first))
+    if sign <= begin:
+        return begin
+    begin = sign + 1
+    while begin < end and text[begin] in OPENING:
+        begin += 1
+    return begin
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, bool, int, int, list[str]]]:
     """(kind, is a seed, start, end, patterns) of seeds and of tokens outside them that look like a kind."""
     out = [(k, True, a, b, [f"{k} {p}" for p in patterns(text, a, b)]) for k, a, b in base]
@@ -136,13 +168,10 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, b
         while at < len(covered) and covered[at][1] <= a:
             at += 1
         if b > a and not (at < len(covered) and covered[at][0] < b):
-            sign = max(text.rfind("=", a, b - 1), text.find(":", a, b - 1))
-            key = _near(text[a:sign]) if sign > a and not DIGIT.search(text[a:sign]) else None
-            a = sign + 1 if key is not None else a
+            a = _value_start(text, a, b)
             kind = shape(text[a:b])
             if kind:
-                around = [f"{key} = _"] if key is not None else patterns(text, a, b)
-                out.append((kind, False, a, b, [f"{kind} {p}" for p in around]))
+                out.append((kind, False, a, b, [f"{kind} {p}" for p in patterns(text, a, b)]))
     return out
 
 

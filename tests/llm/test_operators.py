@@ -487,3 +487,13 @@ def test_personal_data(spark, odd, empty):
     found = {r["doc_id"]: r["spans"] for r in got}
     assert found[9100] == "card:14:30" and found[9101] == ""  # the context of seeds finds it, another does not
     assert pii.find_personal_data(empty).count() == 0
+
+
+def test_personal_data_of_keys(spark):
+    """Seeds and candidates in key=value and key:value meet in the key's pattern, whatever stands around."""
+    cards = ["4111111111111111", "4012888888881881", "4222222222222220", "4000000000000002", "4000000000000010", "4000000000000028"]
+    rows = [(i, f"w{i}x card={c} y{i} then ip:10.0.0.{i}", None) for i, c in enumerate(cards)]
+    rows += [(i + 10, f'{{"no":"{c}"}}', None) for i, c in enumerate(cards)]
+    rows += [(100, "other card=4111111111111112 words", "card:11:27"), (101, "see ip:10.0.0.300, here", "ip:7:17"), (102, '{"no":"4111111111111112"}', "card:7:23"), (103, "other code=4111111111111112 words", "")]
+    found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert {i: found[i] for i, _, want in rows if want is not None} == {i: want for i, _, want in rows if want is not None}
