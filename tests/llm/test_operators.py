@@ -497,3 +497,11 @@ def test_personal_data_of_keys(spark):
     rows += [(100, "other card=4111111111111112 words", "card:11:27"), (101, "see ip:10.0.0.300, here", "ip:7:17"), (102, '{"no":"4111111111111112"}', "card:7:23"), (103, "other code=4111111111111112 words", "")]
     found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
     assert {i: found[i] for i, _, want in rows if want is not None} == {i: want for i, _, want in rows if want is not None}
+
+
+def test_network_predicts_its_whole_layer():
+    """The 2,047 most frequent words and the end have ids of their own; 48 classes hold the others."""
+    counts = [(b"w%d" % i, 9000 - i) for i in range(4000)]
+    words = language_model.Vocabulary([*counts, (language_model.END, 900)], sum(n for _, n in counts) + 900, len(counts) + 1, {k: (1.0, 1) for k in range(language_model.TAIL)})
+    assert sorted(words.ids[w] for w, _ in [*counts[:2047], (language_model.END, 0)]) == list(range(2048))
+    assert counts[2047][0] not in words.ids and {language_model.tail_class(w) for w, _ in counts} <= set(range(48)) and language_model.TAIL == 48
