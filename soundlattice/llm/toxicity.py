@@ -8,13 +8,15 @@ threat are read.  A document's figures (sum and largest clause weight, how many
 enter a logistic curve.
 
 Insults are a fixed seed list and units learned from labels: words and word beginnings whose presence separates
-the toxic from the other training documents by a likelihood ratio; their weight is their log odds.
+the toxic from the other training documents by a likelihood ratio; their weight is their log odds.  Those beyond
+what is broadcast meet the documents' units in a join.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import product
 
@@ -32,8 +34,10 @@ TARGETS = ["he", "her", "him", "she", "them", "they", "you", "your", "yours", "y
 NEGATIONS = ["isn't", "never", "no", "not", "wasn't", "without"]
 REPORTS = ["alleged", "called", "claimed", "quoted", "reported", "said", "says", "wrote"]
 
-#: Units kept at most, those in the most toxic documents first; a bound on what is sent to the executors.
-MAX_UNITS = 1024
+#: Units sent to the executors at most, those in the most toxic documents first; the others stay a distributed table.
+BROADCAST_UNITS = 16_384
+#: Bits of the filter that tells which words may be in that table.
+FILTER_BITS = 1 << 26
 #: Least log likelihood ratio of a learned unit against the base rate.
 MIN_RATIO = 10.0
 #: Beginnings of words that may be units, in characters.
@@ -101,6 +105,18 @@ def clause_weight(kinds: list[tuple[str, float]], table: dict) -> float:
     return total
 
 
+#: Marks of a tree's nodes where a word or a beginning of words ends.
+WHOLE, BEGINNING = r"(?![^\W\d_])", ""
+
+
+def branches(tree: dict) -> str:
+    """The expression of a tree of characters; what goes on after a beginning adds nothing."""
+    if BEGINNING in tree:
+        return ""
+    parts = [c if c == WHOLE else re.escape(c) + branches(rest) for c, rest in sorted(tree.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 class Scorer:
     """Reads documents with a lexicon of units: words as they are, beginnings of words after a caret."""
 
@@ -109,32 +125,41 @@ class Scorer:
         self.stems = {u[1:]: x for u, x in units.items() if u[0] == "^"}
         self.kinds = {w: "T" for w in THREATS} | {w: "Y" for w in TARGETS} | {w: "N" for w in NEGATIONS} | {w: "R" for w in REPORTS}
         self.table = grammar()
-        starts: dict[str, list[str]] = {}
-        for w in [*self.words, *THREATS]:
-            starts.setdefault(w[0], []).append(re.escape(w[1:]) + r"(?![^\W\d_])")
-        for s in self.stems:
-            starts.setdefault(s[0], []).append(re.escape(s[1:]))
-        branches = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in sorted(starts.items()))
-        self.hit = re.compile(rf"(?<![^\W\d_])(?:{branches})")
-
-    def read(self, word: str) -> tuple[str, float]:
+        tree: dict = {}
+        for w, end in [*((w, WHOLE) for w in [*self.words, *THREATS]), *((s, BEGINNING) for s in self.stems)]:
+            at = tree
+            for c in w:
+                at = at.setdefault(c, {})
+            at[end] = {}
+        self.hit = re.compile(rf"(?<![^\W\d_]){branches(tree)}")
+
+    def read(self, word: str, rare: dict[str, float] | None = None) -> tuple[str, float]:
         weight = self.words.get(word, 0.0)
         for n in STEMS:
             weight = max(weight, self.stems.get(word[:n], 0.0))
+        if rare:
+            weight = max(weight, *(rare.get(u, 0.0) for u in units_of_word(word)))
         if weight:
             return "I", weight
         kind = self.kinds.get(word, "O")
         return kind, 3.0 if kind == "T" else 0.0
 
-    def figures(self, text: str) -> tuple[float, float, float, float]:
+    def first(self, text: str, at: int, rare: dict[str, float] | None) -> re.Match | None:
+        """The first insult or threat from ``at`` on."""
+        if not rare:
+            return self.hit.search(text, at)
+        return next((m for m in WORD.finditer(text, at) if self.read(m[0], rare)[0] in "IT"), None)
+
+    def figures(self, text: str, rare: dict[str, float] | None = None) -> tuple[float, float, float, float]:
+        """FIGURES of a text; ``rare`` holds those of its units that are in no lexicon."""
         text = text.lower()
         weights, at = [], 0
-        while found := self.hit.search(text, at):
+        while found := self.first(text, at, rare):
             begin = max(text.rfind(c, at, found.start()) for c in ".!?;:\n") + 1
             begin = begin or at
             end = CLAUSE_END.search(text, found.end())
             at = end.start() if end else len(text)
-            weight = clause_weight([self.read(w) for w in WORD.findall(text, begin, at)], self.table)
+            weight = clause_weight([self.read(w, rare) for w in WORD.findall(text, begin, at)], self.table)
             if weight > 0:
                 weights.append(weight)
         if not weights:
@@ -143,6 +168,10 @@ class Scorer:
         return math.log1p(sum(weights)), math.log1p(max(weights)), math.log1p(len(weights)), math.sqrt(len(weights) / clauses)
 
 
+def units_of_word(word: str) -> list[str]:
+    return [word, *(f"^{word[:n]}" for n in STEMS if len(word) >= n)]
+
+
 def units_of(text: str) -> set[str]:
     words = {w for w in WORD.findall(text.lower()) if len(w) <= MAX_UNIT_CHARS}
     return words | {f"^{w[:n]}" for w in words for n in STEMS if len(w) >= n}
@@ -153,8 +182,12 @@ def _training(column: Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % 3 != 1
 
 
-def learn_units(labelled: DataFrame) -> dict[str, float]:
-    """Units and weights from (text, label) rows; counts cover all rows."""
+def learn_units(labelled: DataFrame) -> tuple[dict[str, float], DataFrame | None]:
+    """Units and weights from (text, label) rows; counts cover all rows.
+
+    All units that pass the tests are kept, but those that say nothing beyond a shorter beginning of at least their
+    weight.  The first BROADCAST_UNITS come as a dictionary, the others, if any, as a table (unit, weight).
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[int]] = {}
@@ -179,14 +212,62 @@ def learn_units(labelled: DataFrame) -> dict[str, float]:
 
     sizes = labelled.agg(F.coalesce(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)), F.lit(0)).alias("toxic"), F.count("*").alias("all")).first()
     if not 0 < sizes["toxic"] < sizes["all"]:
-        return {}
+        return {}, None
     base = sizes["toxic"] / sizes["all"]
     counts = labelled.select("text", "label").mapInArrow(count, "unit string, toxic bigint, clean bigint").groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 3")
     rate = (F.col("t") + 0.5) / (F.col("t") + F.col("c") + 1)
     ratio = F.col("t") * F.log(rate / base) + F.col("c") * F.log((1 - rate) / (1 - base))
-    chosen = counts.withColumn("rate", rate).where((ratio >= MIN_RATIO) & (F.col("rate") >= 0.7))
-    top = chosen.orderBy(F.desc("t"), "unit").limit(MAX_UNITS).collect()
-    return {r["unit"]: min(6.0, math.log(r["rate"] / (1 - r["rate"])) - math.log(base / (1 - base))) for r in top}
+    odds = F.log(F.col("rate") / (1 - F.col("rate"))) - math.log(base / (1 - base))
+    passed = counts.withColumn("rate", rate).where((ratio >= MIN_RATIO) & (F.col("rate") >= 0.7))
+    passed = materialize(passed.select("unit", "t", F.least(F.lit(6.0), odds).alias("weight")), "toxic-units")
+    plain = F.expr("CASE WHEN unit LIKE '^%' THEN substring(unit, 2) ELSE unit END")
+    size = F.length(plain) - F.col("unit").startswith("^").cast("int")  # a beginning is no shorter one of itself
+    shorter = F.filter(F.array(*(F.when(size >= n, F.concat(F.lit("^"), F.substring(plain, 1, n))) for n in STEMS)), lambda u: u.isNotNull())
+    stems = passed.where("unit LIKE '^%'").select(F.col("unit").alias("stem"), F.col("weight").alias("of"))
+    seeds = F.col("unit").isin(INSULTS)  # a learned weight replaces the fixed one
+    covered = passed.where(~seeds).select("unit", "weight", F.explode(shorter).alias("stem")).join(stems.hint("merge"), "stem").where("of >= weight").select("unit").distinct()
+    kept = materialize(passed.join(covered.hint("merge"), "unit", "left_anti"), "toxic-kept")
+    top = kept.where(~seeds).orderBy(F.desc("t"), "unit").limit(BROADCAST_UNITS).collect()
+    units = {r["unit"]: r["weight"] for r in [*kept.where(seeds).collect(), *top]}
+    if len(top) < BROADCAST_UNITS:
+        return units, None
+    last = top[-1]
+    rare = kept.where(~seeds & ((F.col("t") < last["t"]) | ((F.col("t") == last["t"]) & (F.col("unit") > last["unit"])))).select("unit", "weight")
+    return units, None if rare.isEmpty() else rare
+
+
+def _bit(unit: str) -> int:
+    return zlib.crc32(unit.encode()) % FILTER_BITS
+
+
+def rare_units(docs: DataFrame, text_col: str, rare: DataFrame) -> DataFrame:
+    """(key, rare) of the texts that hold units of the table ``rare`` (unit, weight); the key is the text's SHA-256.
+
+    Only units whose bit is set in a filter of FILTER_BITS leave the text's task, distinct ones of each text.
+    """
+    spark = docs.sparkSession
+    width = FILTER_BITS // 4096  # the filter comes in pieces of bounded size
+    slot = F.crc32(F.col("unit").cast("binary")) % FILTER_BITS
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rare.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / width).alias("piece")).agg(F.collect_set((F.col("slot") % width).cast("int")).alias("at")).toLocalIterator():
+        at = np.array(r["at"], np.int64) + r["piece"] * width
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    held = spark.sparkContext.broadcast(bits.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in batches:
+            keys, units = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = set(WORD.findall(text.lower()))
+                found = [u for u in {u for w in words for u in units_of_word(w)} if bits[(at := _bit(u)) >> 3] >> (at & 7) & 1]
+                keys += [key] * len(found)
+                units += found
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(units, pa.string())], ["key", "unit"])
+
+    texts = docs.select(F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("key"), text_or_empty(text_col).alias("text"))
+    pairs = texts.mapInArrow(run, "key string, unit string").distinct().join(rare.hint("merge"), "unit")
+    return pairs.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("unit", "weight"))).alias("rare"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
@@ -205,18 +286,26 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 DEFAULT_CURVE = (-3.0, 1.0, 1.0, 1.0, 1.0)
 
 
-def read_figures(docs: DataFrame, id_col: str, text_col: str, units, with_row: bool = False) -> DataFrame:
-    """(id, FIGURES) of each document, and the input row if asked for; ``units`` is a broadcast lexicon."""
+def read_figures(docs: DataFrame, id_col: str, text_col: str, units, with_row: bool = False, rare: DataFrame | None = None) -> DataFrame:
+    """(id, FIGURES) of each document, and the input row if asked for; ``units`` is a broadcast lexicon.
+
+    ``rare`` holds (key, rare) as of ``rare_units``.
+    """
     rows = docs.select(F.col(id_col).alias("id"), *whole_row(docs, with_row), text_or_empty(text_col).alias("text"))
     names = rows.columns[:-1]
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1]), *(f"{f} double" for f in FIGURES)])
+    if rare is None:
+        rows = rows.withColumn("rare", F.lit(None).cast("map<string,double>"))
+    else:
+        rows = rows.withColumn("key", F.sha2(F.col("text").cast("binary"), 256)).join(rare.hint("merge"), "key", "left").select(*names, "text", "rare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(units.value)
         for batch in batches:
-            read = [scorer.figures(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            *_, texts, rare = batch.columns
+            read = [scorer.figures(t, dict(u) if u else None) for t, u in zip(texts.to_pylist(), rare.to_pylist(), strict=True)]
             found = np.array(read, dtype=np.float64).reshape(-1, len(FIGURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(found[:, i]) for i in range(len(FIGURES)))], [*names, *FIGURES])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *(pa.array(found[:, i]) for i in range(len(FIGURES)))], [*names, *FIGURES])
 
     return rows.mapInArrow(run, schema)
 
@@ -232,8 +321,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     marks = labels.where(F.col(label_col).isNotNull() & _training(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     labelled = docs.where(_training(F.col(id_col))).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(marks.hint("merge"), "id")  # one plan at every size: labels grow with the documents
-    units = spark.sparkContext.broadcast(learn_units(labelled))  # MAX_UNITS entries at most
-    read = materialize(read_figures(docs, id_col, text_col, units), "toxic-figures")
+    frequent, others = learn_units(labelled)
+    units = spark.sparkContext.broadcast(frequent)  # BROADCAST_UNITS entries at most
+    rare = None if others is None else materialize(rare_units(docs, text_col, others), "toxic-rare")
+    read = materialize(read_figures(docs, id_col, text_col, units, rare=rare), "toxic-figures")
     pairs = read.where(_training(F.col("id"))).join(marks, "id")
     fit = pairs.where(chosen(FIT_ROWS, marks.count(), "id")).limit(2 * FIT_ROWS).select("label", *FIGURES).toPandas()
     if 0 < (fit["label"] == 1).sum() < len(fit):
@@ -241,7 +332,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     else:
         curve = DEFAULT_CURVE
     if with_row:
-        read = read_figures(docs, id_col, text_col, units, True)
+        read = read_figures(docs, id_col, text_col, units, True, rare)
     line = F.lit(float(curve[0]))
     for w, f in zip(curve[1:], FIGURES, strict=True):
         line = line + float(w) * F.col(f)

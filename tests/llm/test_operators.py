@@ -505,3 +505,19 @@ def test_network_predicts_its_whole_layer():
     words = language_model.Vocabulary([*counts, (language_model.END, 900)], sum(n for _, n in counts) + 900, len(counts) + 1, {k: (1.0, 1) for k in range(language_model.TAIL)})
     assert sorted(words.ids[w] for w, _ in [*counts[:2047], (language_model.END, 0)]) == list(range(2048))
     assert counts[2047][0] not in words.ids and {language_model.tail_class(w) for w, _ in counts} <= set(range(48)) and language_model.TAIL == 48
+
+
+def test_toxicity_keeps_all_learned_units(spark, monkeypatch):
+    """A word beyond the first thousand units still marks its documents, from the dictionary or from the table."""
+    r = random.Random(9)
+    pick = lambda n: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(n))
+    insults, prose = sorted({f"z{pick(3)}" for _ in range(420)})[:400], [f"q{pick(3)}" for _ in range(300)]
+    say = lambda words: " ".join([*(r.choice(prose) for _ in range(8)), *words, *(r.choice(prose) for _ in range(8))])
+    rows = [(i, say([w]), 1) for i, w in enumerate(w for w in insults for _ in range(18))] + [(100_000 + i, say([]), 0) for i in range(40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    want = {i: t for i, _, t in rows}
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic")).collect()}
+    assert {i for i, r in got.items() if r["predicted"] != want[i]} == set()
+    monkeypatch.setattr(toxicity, "BROADCAST_UNITS", 5)
+    again = {r["doc_id"]: r for r in toxicity.score_toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic"), with_row=True).collect()}
+    assert {i: r["score"] for i, r in again.items()} == pytest.approx({i: r["score"] for i, r in got.items()})
