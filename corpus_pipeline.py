@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from soundlattice.llm.exact_dedup import exact_dedup
-from soundlattice.llm.mixing import mix
+from soundlattice.llm.mixing import place
 from soundlattice.llm.packing import default_tokenizer, pack
 from soundlattice.llm.shared import materialize
 from soundlattice.llm.simhash import near_duplicates
@@ -32,9 +32,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    taken = mix(docs, with_row=True).where("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    """Documents as often as the mix takes them, each copy at its position: range-sorted."""
+    copies = place(docs, with_row=True).select("row", F.posexplode("positions").alias("copy", "position"))
+    return copies.orderBy(F.col("position").asc_nulls_last(), "row.doc_id", "copy").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Each source has a weight and a share of all words; a target is at most ``max_repeats`` times its source, and
 what is over is shared anew by weight.  A source's weight at time t in [0, 1] follows a line from ``start`` to
 ``end``; its integral is the source's cumulative demand.  A document is needed when the demand reaches the words
-before it, so inverting the integral gives its training position.  Everything is DataFrame code.
+before it, so inverting the integral gives its training position; each copy has its own.  Everything is DataFrame code.
 
 No source is gathered in one task: documents are dealt by hash into buckets of about ``BUCKET_ROWS`` within
 their source, running sums go first over buckets, then within each.
@@ -11,7 +11,7 @@ their source, running sums go first over buckets, then within each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from soundlattice.llm.shared import WORD_GAP, materialize, whole_row
@@ -50,13 +50,19 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_row: bool = False, weights: tuple[float, ...] = WEIGHTS, max_repeats: float = 3.0) -> DataFrame:
-    """The mix, a row per input row, range-sorted by position.
+    """The mix, a row per input row, range-sorted by position: as of ``place``."""
+    return place(docs, id_col, text_col, source_col, with_row, weights, max_repeats).orderBy(F.col("position").asc_nulls_last(), F.col(id_col))
 
-    id, size (words), source_size, target, taken (words taken, repeats counted), copies, time, position;
+
+def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_row: bool = False, weights: tuple[float, ...] = WEIGHTS, max_repeats: float = 3.0) -> DataFrame:
+    """A row per input row, in no order.
+
+    id, size (words), source_size, target, taken (words taken, repeats counted), copies, time, position, positions;
     ``with_row`` adds the input row as the struct ``row``.  A source's documents are taken whole, each floor(target / source_size) times, and once
     more along a hash order until the rest of the target is met; a source misses its target by half a document at
     most.  ``time`` is the share of training before the first copy, ``position`` the words of all sources before
-    it; both are null where no copy is taken, and such rows come last.  Null texts and texts without words have
+    it; both are null where no copy is taken, and such rows come last.  ``positions`` has the position of each copy:
+    copy k of a source's document follows k times the source's words.  Null texts and texts without words have
     size 0; null sources form one source, last in order.  Repeated rows count each.  Empty tables give no rows.
     """
     key = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
@@ -81,17 +87,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.withColumn("whole", whole)
     rows = rows.withColumn("copies", (F.col("whole") + F.when(F.col("at") + F.col("size") / 2 <= rest, 1).otherwise(0)).cast("int"))
 
-    spent = F.when((F.col("copies") > 0) & (F.col("target") > 0), F.least(F.col("at") / F.col("target"), F.lit(1.0)))
-    need = spent * (F.col("start") + F.col("end")) / 2
-    root = F.sqrt(F.col("start") * F.col("start") + 2 * (F.col("end") - F.col("start")) * need)
-    rows = rows.withColumn("time", 2 * need / (F.col("start") + root))
     demand = sources.agg(
         F.coalesce(F.sum(F.col("target") * 2 * F.col("start") / (F.col("start") + F.col("end"))), F.lit(0.0)).alias("linear"),
         F.coalesce(F.sum(F.col("target") * (F.col("end") - F.col("start")) / (F.col("start") + F.col("end"))), F.lit(0.0)).alias("square"),
     ).first()
-    rows = rows.withColumn("position", F.lit(demand["linear"]) * F.col("time") + F.lit(demand["square"]) * F.col("time") * F.col("time"))
-    out = rows.select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "time", "position", *(["row"] if with_row else []))
-    return out.orderBy(F.col("position").asc_nulls_last(), F.col(id_col))
+
+    def time_of(copy: Column) -> Column:
+        spent = F.when(F.col("target") > 0, F.least((F.col("at") + copy * F.col("source_size")) / F.col("target"), F.lit(1.0)))
+        need = spent * (F.col("start") + F.col("end")) / 2
+        root = F.sqrt(F.col("start") * F.col("start") + 2 * (F.col("end") - F.col("start")) * need)
+        return 2 * need / (F.col("start") + root)
+
+    def position_of(time: Column) -> Column:
+        return F.lit(demand["linear"]) * time + F.lit(demand["square"]) * time * time
+
+    rows = rows.withColumn("times", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), time_of)))
+    rows = rows.withColumn("positions", F.transform("times", position_of)).withColumn("time", F.get("times", F.lit(0))).withColumn("position", F.get("positions", F.lit(0)))
+    return rows.select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "time", "position", "positions", *(["row"] if with_row else []))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

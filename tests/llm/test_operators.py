@@ -521,3 +521,19 @@ def test_toxicity_keeps_all_learned_units(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "BROADCAST_UNITS", 5)
     again = {r["doc_id"]: r for r in toxicity.score_toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic"), with_row=True).collect()}
     assert {i: r["score"] for i, r in again.items()} == pytest.approx({i: r["score"] for i, r in got.items()})
+
+
+def test_every_copy_has_a_position(spark):
+    """The copies of a source fill its schedule to the end: the demand met at a copy's time is the words before it."""
+    docs = spark.createDataFrame([(i, "w " * (i % 7 + 1), "a" if i < 200 else "b" if i < 1200 else None) for i in range(3000)] + [(5000, "", "z")], "doc_id long, text string, source string")
+    got = mixing.mix(docs, with_row=True).collect()
+    assert all(len(r["positions"] or []) == r["copies"] and (not r["copies"] or r["positions"][0] == r["position"]) for r in got)
+    assert max(r["copies"] for r in got if r["row"]["source"] == "a") == 3
+    total = sum(r["taken"] for r in got)
+    placed = sorted((p, k, r["doc_id"], r["size"], r["row"]["source"]) for r in got for k, p in enumerate(r["positions"] or []) if p is not None)
+    assert placed == sorted(placed) and 0 <= placed[0][0] and placed[-1][0] <= total * 1.01 + 7
+    before = 0
+    for p, *_, size, _ in placed:  # all sources' copies together run along the words of training
+        assert p == pytest.approx(before, abs=25)
+        before += size
+    assert {k for _, k, _, _, s in placed if s == "a"} == {0, 1, 2} and max(p for p, *_, s in placed if s == "a") > 0.9 * total

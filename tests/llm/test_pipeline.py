@@ -78,3 +78,11 @@ def test_registered():
     names = set(__spark_entry__.queries())
     assert {*queries.QUERIES, "pipeline"} <= names and set(queries.SQL) <= set(__spark_entry__.oracle_sql())
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_copies_are_written_along_the_schedule(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    placed = {r["doc_id"]: r["positions"] for r in mixing.mix(docs).collect() if r["copies"]}
+    want = [i for _, i, _ in sorted((p, i, k) for i, places in placed.items() for k, p in enumerate(places))]
+    assert max(map(len, placed.values())) > 1
+    assert [r["doc_id"] for r in corpus_pipeline.mixing(spark, docs, SF).collect()] == want
