@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base patterns give seed entities.  Other tokens of the shape of a kind, such as a number of 12 digits or more without
-a valid checksum, are candidates of that kind.  The lexical patterns of either are the kind with the words around: the
+a valid checksum, are candidates of that kind, and so are runs of digits written with spaces.  The lexical patterns of either are the kind with the words around: the
 two before, and the one before with the one after, or the key of key=value and key:value.  Spark scores the graph of patterns and
 instances in rounds: a pattern is as good as the mean belief in its instances, shrunk by a prior, and an instance is
 believed by the best of its patterns; seeds are believed fully.  Candidates in a pattern of high confidence are new
@@ -30,10 +30,13 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 SIGN = re.compile(r"[0-9@]")
+#: Digits with the separators that base cards and phones allow.
+RUN = re.compile(r"(?<![\w@.-])[+(]{0,2}[0-9](?:[\x20().-]*[0-9])+(?![\w@])")
+GROUPED_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 SHAPES = (("email", re.compile(r"[^@]+@[^@]+")), ("ip", re.compile(r"[0-9]+(?:[.:][0-9A-Fa-f]+){3,}")), ("card", re.compile(r"(?:[0-9]-?){12,}")), ("phone", re.compile(r"\+?(?:[0-9][().-]*){7,}")))
 GAPS = " \t\n\x0b\f\r"
 EDGE = ".,;:!?()[]{}\"'"
-#: What may stand between a key's sign and its value, and what ends a key on its left.
+#: What may stand right before a value, also after a key's sign, and what ends a key on its left.
 OPENING = "([{\"'"
 KEY_END = GAPS + "&;,?|"
 #: Longest context word in a pattern; longer ones are known by their digest.
@@ -128,6 +131,8 @@ def patterns(text: str, begin: int, end: int) -> list[str]:
     key = _key_before(text, begin)
     if key is not None:
         return [f"{key} = _"]
+    while begin and text[begin - 1] in OPENING:
+        begin -= 1
     one, at = _word_before(text, begin)
     two, _ = _word_before(text, at)
     after = _near(_word_after(text, end))
@@ -152,8 +157,25 @@ def _value_start(text: str, begin: int, end: int) -> int:
     return begin
 
 
+def _runs(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of runs of digits with spaces within, between base spans; cards have 12 digits at least, phones 7 to 15."""
+    at = 0
+    for a, b in [*sorted((a, b) for _, a, b in base), (len(text), len(text))]:
+        for m in RUN.finditer(text, at, a) if at < a else ():
+            begin, end = m.span()
+            while begin < end and text[begin] == "(" and ")" not in m[0]:
+                begin += 1  # opened before the run, closed after it
+            digits = sum(map(str.isdigit, m[0]))
+            if " " in m[0]:
+                if 12 <= digits <= 19 and GROUPED_CARD.fullmatch(text, begin, end):
+                    yield "card", begin, end
+                if 7 <= digits <= 15:
+                    yield "phone", begin, end
+        at = max(at, b)
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, bool, int, int, list[str]]]:
-    """(kind, is a seed, start, end, patterns) of seeds and of tokens outside them that look like a kind."""
+    """(kind, is a seed, start, end, patterns) of seeds and of tokens and runs of digits outside them that look like a kind."""
     out = [(k, True, a, b, [f"{k} {p}" for p in patterns(text, a, b)]) for k, a, b in base]
     at = 0
     covered = sorted((a, b) for _, a, b in base)
@@ -172,6 +194,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, b
             kind = shape(text[a:b])
             if kind:
                 out.append((kind, False, a, b, [f"{kind} {p}" for p in patterns(text, a, b)]))
+    out += [(k, False, a, b, [f"{k} {p}" for p in patterns(text, a, b)]) for k, a, b in _runs(text, base)]
     return out
 
 

@@ -537,3 +537,13 @@ def test_every_copy_has_a_position(spark):
         assert p == pytest.approx(before, abs=25)
         before += size
     assert {k for _, k, _, _, s in placed if s == "a"} == {0, 1, 2} and max(p for p, *_, s in placed if s == "a") > 0.9 * total
+
+
+def test_personal_data_with_spaces(spark):
+    """Phones and cards written in groups are found whole in the context of seeds."""
+    cards = ["4111 1111 1111 1111", "4012 8888 8888 1881", "4222 2222 2222 2220", "4000 0000 0000 0002", "4000 0000 0000 0010", "4000 0000 0000 0028"]
+    rows = [(i, f"x{i} please call +49 171 23456{i}8 now; pay with card {c} today", None) for i, c in enumerate(cards)]
+    rows += [(100, "please call 0171 234 5678 now", "phone:12:25"), (101, "please call (0171) 234-5678 now", "phone:12:27"), (102, "pay with card 4111 1111 1111 1112 today", "card:14:33")]
+    rows += [(103, "please call (0171 234 5678) now", "phone:13:26"), (104, "won by 12 34 56 78 in all", "")]
+    found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert {i: found[i] for i, _, want in rows if want is not None} == {i: want for i, _, want in rows if want is not None}
