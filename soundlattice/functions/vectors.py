@@ -40,9 +40,15 @@ def mean(a: Column) -> Column:
 
 
 def std(a: Column) -> Column:
-    """Population standard deviation."""
-    m = mean(a)
-    return F.when(F.size(a) > 0, F.sqrt(F.aggregate(F.transform(a, lambda x: (x - m) * (x - m)), F.lit(0.0), lambda s, x: s + x) / F.size(a)))
+    """Population standard deviation, by one pass of running means and squared deviations."""
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(s: Column, x: Column) -> Column:
+        n, gap = s["n"] + 1, x - s["m"]
+        mean = s["m"] + gap / n
+        return F.struct(n.alias("n"), mean.alias("m"), (s["s"] + gap * (x - mean)).alias("s"))
+
+    return F.when(F.size(a) > 0, F.aggregate(a, none, step, lambda s: F.sqrt(s["s"] / F.size(a))))
 
 
 def argsort(a: Column) -> Column:

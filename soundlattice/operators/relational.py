@@ -62,14 +62,15 @@ def batches(df: DataFrame, value: str, order: str, size: int = 100) -> DataFrame
     are drawn anew each time they are computed, so they are written once.
     """
     path = scratch(df.sparkSession, "ranges")
-    df.select(value, order).repartitionByRange(order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    ranges = df.select(F.col(value).alias("__value"), F.col(order).alias("__order")).repartitionByRange("__order")
+    ranges.withColumn("__part", F.spark_partition_id()).write.parquet(path)
     spread = df.sparkSession.read.parquet(path)
-    inside = spread.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
+    inside = spread.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy("__order", "__value")))
     counts = spread.groupBy("__part").agg(F.count("*").alias("c"))
     before = counts.select("__part", (F.sum("c").over(Window.orderBy("__part")) - F.col("c")).alias("__before"))
     placed = inside.join(before, "__part").withColumn("__at", F.col("__before") + F.col("__n") - 1)
-    lists = placed.groupBy(F.floor(F.col("__at") / size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("__at", value))).alias("l"))
-    return lists.select("batch", F.transform("l", lambda s: s[value]).alias("items"))
+    lists = placed.groupBy(F.floor(F.col("__at") / size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("__at", "__value"))).alias("l"))
+    return lists.select("batch", F.transform("l", lambda s: s["__value"]).alias("items"))
 
 
 def clean_metadata(tags: DataFrame, required: tuple[str, ...] = ("artist", "title", "album")) -> tuple[DataFrame, DataFrame]:

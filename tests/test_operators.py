@@ -52,6 +52,8 @@ def test_worklist_keeps_null_keys(spark):
 
 def test_batches(spark):
     df = spark.createDataFrame([(f"u{i:04d}", i) for i in range(250)], "uri string, i int").repartition(7)
+    one = {r["batch"]: r["items"] for r in writers.playlist_batches(df, "i", "i").collect()}
+    assert [x for b in sorted(one) for x in one[b]] == sorted(r["i"] for r in df.collect())  # value and order in one column
     got = {r["batch"]: r["items"] for r in writers.playlist_batches(df, "uri", "i").collect()}
     assert {k: len(v) for k, v in got.items()} == {0: 100, 1: 100, 2: 50} and got[2][0] == "u0200"
 
