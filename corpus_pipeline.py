@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from soundlattice.llm.exact_dedup import exact_dedup
 from soundlattice.llm.mixing import place
 from soundlattice.llm.packing import default_tokenizer, pack
-from soundlattice.llm.shared import materialize
+from soundlattice.llm.shared import materialize, written_place
 from soundlattice.llm.simhash import near_duplicates
 from soundlattice.llm.toxicity import score_toxicity
 
@@ -38,8 +38,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences."""
-    return pack(docs, *default_tokenizer())
+    """Training sequences: ``place`` is the document's place along the schedule, by which each bucket is numbered."""
+    placed = docs.select("doc_id", "text", written_place(docs).alias("place"))
+    return pack(placed, *default_tokenizer(), keep=("doc_id", "place"), order=("place",))
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("simhash_near_dedup", near), ("mixing", mixing), ("packing", packing)]

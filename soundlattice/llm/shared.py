@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -38,6 +39,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], number: str, name: str) -> DataFrame:
+    """``df`` with its rows numbered from 0, without gaps, along ``order``; equal rows in any order.
+
+    Rows are range-partitioned and written once with their place in their partition; only a count for each
+    partition is gathered, and sent back to all tasks.  No order of a tie crosses a task's memory: equal rows may
+    spread over partitions.
+    """
+    spread = df.withColumn("__tie", F.monotonically_increasing_id())
+    spread = spread.repartitionByRange(*order, "__tie").sortWithinPartitions(*order, "__tie").drop("__tie")
+    placed = materialize(spread.withColumn("__at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("__at", 33)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__rows"))
+    before = counts.select("__part", (F.sum("__rows").over(Window.orderBy("__part")) - F.col("__rows")).alias("__before"))
+    out = placed.withColumn("__part", part).join(F.broadcast(before), "__part")  # a row for each partition
+    return out.withColumn(number, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__before")
+
+
+def written_place(docs: DataFrame) -> Column:
+    """A row's place in the table as it was written: by part file, then by row.
+
+    Rows that come from no file have their place in the plan.
+    """
+    try:
+        docs.select("_metadata.row_index", "_metadata.file_name")
+    except AnalysisException as error:
+        if not str(error.getCondition()).startswith("UNRESOLVED_COLUMN"):
+            raise
+        return F.monotonically_increasing_id()
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long")
+    return F.shiftleft(F.coalesce(part, F.lit(0).cast("long")), 33) + F.col("_metadata.row_index")
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
