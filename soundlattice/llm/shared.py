@@ -39,6 +39,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` wrote and that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(df: DataFrame, order: list[Column], number: str, name: str) -> DataFrame:
     """``df`` with its rows numbered from 0, without gaps, along ``order``; equal rows in any order.
 

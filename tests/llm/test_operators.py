@@ -405,21 +405,44 @@ def plain_removal(texts, span=200):
     return out
 
 
-@pytest.mark.parametrize("bucket_rows", [4096, 4])
+@pytest.mark.parametrize("bucket_rows", [1024, 4])
 def test_suffix_dedup(spark, odd, monkeypatch, bucket_rows):
     if bucket_rows < 100:
         monkeypatch.setattr(suffix_dedup, "BATCH_ROWS", 3)
+        monkeypatch.setattr(suffix_dedup, "SLAB", 300)
     r = random.Random(1)
     prose = lambda n: " ".join(r.choice(["tha", "ere", "di", "é"]) + str(r.randrange(99)) for _ in range(n))
     p = prose(80)
     more = [p, p + "x", "y" + p + prose(30), prose(20) + p[:199], prose(20) + p[:200] + "q", "it " * 300, "a" * 500, "a" * 199, "a" * 200, "é" * 150, p[5:205] + "é" + p[3:260], *(prose(5) + p + prose(4) for _ in range(12))]
-    docs = odd.where("length(text) < 9000 OR text IS NULL").unionByName(spark.createDataFrame(list(enumerate(more, 9000)), "doc_id long, text string"), allowMissingColumns=True)
+    more += [prose(3) + p[: 210 + i] + prose(3) + p[i : 260 + i] + "w" * i + "ab" * (120 + i) for i in range(12)]
+    docs = odd.unionByName(spark.createDataFrame(list(enumerate(more, 9000)), "doc_id long, text string"), allowMissingColumns=True)
     texts = pairs(docs)
     want = sorted(((i, *x) for (i, _), x in zip(texts, plain_removal([t for _, t in texts]), strict=True)), key=repr)
     got = suffix_dedup.remove_repeats(docs, bucket_rows=bucket_rows)
     assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def test_cover_has_every_difference():
+    assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.integers(0, 2**32))
+def test_suffix_order_is_that_of_the_bytes(seed):
+    """Few letters and repeated pieces: ties beyond PERIOD bytes, also between columns of different remainders."""
+    r = np.random.default_rng(seed)
+    piece = r.integers(1, 3, r.integers(1, 40)).astype(np.uint8)
+    table = np.zeros((6, suffix_dedup.WIDTH + suffix_dedup.PERIOD), np.uint8)
+    for row in table:
+        body = np.resize(piece, 352) if r.random() < 0.7 else r.integers(1, 3, 352)
+        row[:352] = np.where(r.random(352) < 0.01, 3, body)
+    bucket = np.sort(r.integers(0, 2, 6))
+    rows, columns = np.repeat(np.arange(6), 153), np.tile(np.arange(153), 6)
+    got = suffix_dedup.suffix_order(table, bucket, rows, columns)
+    text = lambda i: (bucket[rows[i]], table[rows[i], columns[i] : columns[i] + 200].tobytes())
+    assert [text(i) for i in got] == sorted(text(i) for i in got)
+
+
 def test_suffix_dedup_of_nothing(empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
