@@ -1,74 +1,113 @@
 """Exact duplicates through an extendible-hash index on shared files.
 
-Each distinct text has a 64-bit hash; the leading bits choose its bucket.  A directory starts with one bucket
-and doubles wherever a bucket holds more than ``capacity`` entries, up to ``max_depth`` bits.  The index is
-written to the shared folder in key order, so each owner task holds a range of buckets.  Within a bucket,
-different texts of one hash form a chain; texts are told apart by their bytes, which are a grouping key.
-Everything is DataFrame code.  Copies are folded before the shuffle, so a text with a third of all rows sends
-one row per map task.
+Directory.  Each text has a 64-bit hash, and the leading bits choose its bucket.  The directory starts with as many
+bits as let the distinct hashes fill its buckets by half, and wherever a bucket holds more than ``capacity`` hashes it
+doubles there: the bucket splits by the next bit, as often as needed.  What is stored is the starting depth and the
+prefixes that were split, so it is as small as the hash is even.
+
+Index.  Rows are addressed to their bucket by the directory; copies combine on the way, by bucket, hash and the text's
+bytes, so a text with a third of all rows sends one row per map task.  Owner tasks hold ranges of buckets, in key order,
+and chain the different texts of one hash; the entries are written to the shared folder.
+
+Lookup.  Each row goes through the directory to its bucket and takes its verdict from the entry of its hash and text there.
+Everything is DataFrame code.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from soundlattice.llm.shared import materialize, text_or_empty, whole_row
 
+CAPACITY = 4096
 
-def directory(entries: DataFrame, max_depth: int, capacity: int) -> DataFrame:
-    """(prefix, low, depth): the bucket of each leading-bits prefix in use; at most 2**max_depth rows.
 
-    ``depth`` is the smallest number of leading bits at which the prefix's bucket holds ``capacity`` entries or
-    fewer, or ``max_depth``; ``low`` is the first prefix of that bucket.
-    """
-    used = entries.groupBy("prefix").agg(F.count("*").alias("n"))
-    levels = used.select("prefix", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"))
-    low = F.expr(f"shiftleft(shiftright(prefix, {max_depth} - depth), {max_depth} - depth)")
-    levels = levels.withColumn("low", low)
-    held = levels.groupBy("depth", "low").agg(F.sum("n").alias("held"), F.collect_list("prefix").alias("prefixes"))
-    fits = held.where((F.col("held") <= capacity) | (F.col("depth") == max_depth))
-    return fits.select(F.explode("prefixes").alias("prefix"), "depth", "low").groupBy("prefix").agg(F.min(F.struct("depth", "low")).alias("at")).select("prefix", "at.low", "at.depth")
+class Directory(NamedTuple):
+    """Buckets of ``depth`` leading bits, but those of ``splits`` (depth, prefix) are split by the next bit, down to ``deepest``."""
+
+    depth: int
+    splits: DataFrame | None
+    deepest: int
+
+
+def _prefix(bits: int) -> Column:
+    return F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_depth: int = 12, capacity: int = 4096) -> DataFrame:
-    """The index, one row per distinct text: low, depth, hash, chain, text_sha256, keep_id, group_size.
+def make_directory(hashes: DataFrame, capacity: int = CAPACITY) -> Directory:
+    """The directory of distinct hashes (hash).  Distinct ones part at 64 bits at the latest, so splitting ends."""
+    total = hashes.count()
+    depth = bits = max(0, math.ceil(math.log2(2 * total / capacity))) if total else 0
+    splits, left = None, hashes
+    while True:
+        counted = left.groupBy(_prefix(bits).alias("prefix")).agg(F.count("*").alias("held"))
+        full = materialize(counted.where(F.col("held") > capacity).select(F.lit(bits).alias("depth"), "prefix"), "hash-splits")
+        if bits == 64 or full.isEmpty():
+            return Directory(depth, splits, bits)
+        splits = full if splits is None else splits.unionByName(full)
+        left = left.withColumn("prefix", _prefix(bits)).join(full.select("prefix"), "prefix", "left_semi").drop("prefix")
+        bits += 1
+
+
+def address(rows: DataFrame, directory: Directory) -> DataFrame:
+    """``rows`` (with hash) and the bucket of each: its depth, and ``low``, the first hash of its range."""
+    rows = rows.withColumn("depth", F.lit(directory.depth))
+    for bits in range(directory.depth, directory.deepest):
+        full = directory.splits.where(F.col("depth") == bits).select(F.col("prefix").alias("__prefix"), F.lit(True).alias("__full"))
+        rows = rows.withColumn("__prefix", F.when(F.col("depth") == bits, _prefix(bits))).join(full, "__prefix", "left")
+        rows = rows.withColumn("depth", F.when(F.col("__full"), F.lit(bits + 1)).otherwise(F.col("depth"))).drop("__prefix", "__full")
+    return rows.withColumn("low", F.expr("CASE WHEN depth = 0 THEN 0L ELSE shiftleft(shiftrightunsigned(hash, 64 - depth), 64 - depth) END"))
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> tuple[Directory, DataFrame]:
+    """The directory, and an entry for each distinct text: low, depth, hash, chain, text_sha256, keep_id, group_size.
 
     ``low`` and ``depth`` name the bucket, ``chain`` is the text's place among those of equal hash, from 1.
     """
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
-    texts = rows.groupBy("hash", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = texts.select(
-        "hash",
-        F.shiftrightunsigned("hash", 64 - max_depth).cast("int").alias("prefix"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
-        "keep_id",
-        "group_size",
-    )
-    entries = materialize(entries, "hash-entries")
-    buckets = F.broadcast(directory(entries, max_depth, capacity))  # 2**max_depth rows at most
-    owned = entries.join(buckets, "prefix").repartitionByRange("low", "hash")
-    chained = owned.withColumn("chain", F.row_number().over(Window.partitionBy("low", "hash").orderBy("text_sha256")))
-    return materialize(chained.select("low", "depth", "hash", "chain", "text_sha256", "keep_id", "group_size"), "hash-index")
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False, max_depth: int = 12, capacity: int = 4096) -> DataFrame:
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    directory = make_directory(materialize(rows.select("hash").distinct(), "hash-keys"), capacity)
+    combined = address(rows, directory).groupBy("low", "depth", "hash", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    entries = combined.select("low", "depth", "hash", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
+    entries = materialize(entries, "hash-entries")  # ranges are sampled: texts are read once
+    owned = entries.repartitionByRange("low", "hash")
+    chain = F.row_number().over(Window.partitionBy("low", "depth", "hash").orderBy("text_sha256"))
+    return directory, materialize(owned.withColumn("chain", chain), "hash-index")
+
+
+def look_up(docs: DataFrame, directory: Directory, index: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
+    """As ``exact_dedup``, from an index."""
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), *whole_row(docs, with_row))
+    out = ["id", "keep_id", "group_size", "kept", "text_sha256", *(["row"] if with_row else [])]
+    entries = index.select("low", "depth", "hash", "text_sha256", "keep_id", "group_size")
+    found = address(rows, directory).join(entries, ["low", "depth", "hash", "text_sha256"]).withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
+    twice = materialize(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__twice")), "hash-repeated")
+    if not twice.isEmpty():
+        # Of rows that repeat an id and a text one is kept: the first of its task, then the first task.
+        same = F.col("id").eqNullSafe(F.col("__twice"))
+        often = found.join(twice, same, "left_semi").withColumn("__task", F.spark_partition_id())
+        often = often.withColumn("__nth", F.row_number().over(Window.partitionBy("id", "text_sha256", "__task").orderBy("hash")))
+        often = often.withColumn("__first", F.row_number().over(Window.partitionBy("id", "text_sha256", "__nth").orderBy("__task")))
+        often = often.withColumn("kept", F.col("kept") & (F.col("__nth") == 1) & (F.col("__first") == 1))
+        found = found.join(twice, same, "left_anti").select(*out).unionByName(often.select(*out))
+    return found.select(*out).withColumnRenamed("id", id_col)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False, capacity: int = CAPACITY) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256; ``with_row`` adds the input row as
     the struct ``row``.
 
     Texts are equal when their bytes are; null counts as empty.  Of equal texts the row with the largest id is
     kept; of repeated rows of that id and text, one.  Null ids lose to any other; if a group has only null ids,
-    one of its rows is kept.  Empty tables give no rows.  Other columns are ignored, whatever their names.
+    one of its rows is kept.  Empty tables give no rows.  Texts of any length are hashed and compared whole.  Other
+    columns are ignored, whatever their names.
     """
-    index = build_index(docs, id_col, text_col, max_depth, capacity)
-    text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("hash"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), *whole_row(docs, with_row))
-    first = F.row_number().over(Window.partitionBy("__id", "text_sha256").orderBy(F.lit(1)))
-    rows = rows.withColumn("__nth", first)
-    found = rows.join(index.select("hash", "text_sha256", "keep_id", "group_size"), ["hash", "text_sha256"])
-    kept = F.col("__id").eqNullSafe(F.col("keep_id")) & (F.col("__nth") == 1)
-    return found.select(F.col("__id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256", *(["row"] if with_row else []))
+    return look_up(docs, *build_index(docs, id_col, text_col, capacity), id_col, text_col, with_row)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
