@@ -1,11 +1,13 @@
 """Quality rules whose cutoffs limit false rejection.
 
-A rule rejects a document whose figure exceeds a cutoff.  Labelled documents choose the cutoffs: per stratum and
-rule, cutoffs are tried from the most lenient on, each against the hypothesis that more than ``risk`` of good
-documents would be rejected, with the exact binomial tail as its p-value; trying stops at the first cutoff that
-is not significant.  A fixed order needs no correction within a rule, and Bonferroni's covers all strata and
-rules.  So with probability 1 - ``error`` no rule rejects more than ``risk`` of any stratum's good documents.
-A stratum with too few labels gets no cutoff, and only the base rule applies.  Everything is DataFrame code.
+A rule rejects a document whose figure exceeds its cutoff.  The cutoffs of all rules grow stricter together, in ``STEPS``
+steps.  Labelled documents choose the step: per stratum, steps are tried from the most lenient on, each against the
+hypothesis that more than ``risk`` of the good documents would be rejected by any rule, with the exact binomial tail as
+its p-value; trying stops at the first step that is not significant.  A fixed order needs no correction within a
+stratum, and Bonferroni's covers the strata.  So with probability 1 - ``error`` no more than ``risk`` of any
+stratum's good documents are rejected.  Strata whose good labels could not certify anything, even without a
+rejection, are tested together as one stratum, whose guarantee is that of all of them together.
+Everything is DataFrame code.
 """
 
 from __future__ import annotations
@@ -25,8 +27,6 @@ RULES = {
     "long_words": ("word_chars / n_words", 60.0, 8.0),
 }
 STEPS = 20
-#: Terms of a binomial tail that are added one by one; the rest is bounded by a geometric series.
-TAIL_TERMS = 4096
 
 
 def cutoffs(lenient: float, strict: float) -> list[float]:
@@ -91,55 +91,59 @@ def _log_gamma(x: str) -> str:
 
 
 def binomial_tail(n: str, k: str, risk: float) -> str:
-    """SQL for P(X <= k) where X counts n trials of chance ``risk``; 1 where k / n >= risk, never below the truth."""
+    """SQL for P(X <= k) where X counts n trials of chance ``risk``; 1 where k / n >= risk.
+
+    Terms fall at least as fast as those of a normal tail, so beyond 12 deviations below k they are less than a double
+    can tell apart; they are bounded by a geometric series all the same.
+    """
+    terms = f"CAST(12 * sqrt(CAST({n} AS double) * {risk * (1 - risk)!r}D) + 64 AS int)"
     n, k, odds = f"CAST({n} AS double)", f"CAST({k} AS double)", (1 - risk) / risk
     log_top = f"{_log_gamma(f'({n} + 1D)')} - {_log_gamma(f'({k} + 1D)')} - {_log_gamma(f'({n} - {k} + 1D)')} + {k} * {math.log(risk)!r}D + ({n} - {k}) * {math.log1p(-risk)!r}D"
-    terms = f"""aggregate(sequence(0, CAST(least({k}, {TAIL_TERMS}D) AS int)), struct(1D AS term, 0D AS total),
+    terms = f"""aggregate(sequence(0, CAST(least({k}, {terms}) AS int)), struct(1D AS term, 0D AS total),
         (a, i) -> struct(a.term * ({k} - i) / ({n} - {k} + i + 1) * {odds!r}D AS term, a.total + a.term AS total),
         a -> a.total + a.term / (1D - {k} / ({n} - {k} + 1) * {odds!r}D))"""
     return f"CASE WHEN {k} >= {n} * {risk!r}D OR {k} * {odds!r}D >= {n} - {k} + 1 THEN 1D ELSE least(1D, exp({log_top}) * {terms}) END"
 
 
+def first_step() -> Column:
+    """The first step, from 1, at which any rule rejects a measured document; past the last if none does."""
+    return F.least(*(_first_exceeded(F.array(*map(F.lit, cutoffs(lenient, strict))), figure(rule)) for rule, (_, lenient, strict) in RULES.items()))
+
+
 def calibrate(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str, risk: float, error: float) -> DataFrame:
-    """(stratum, rule, n_good, cutoff): the strictest certified cutoff, null where there is none.
+    """(stratum, n_good, step): the strictest certified step of each stratum with good labels, 0 where there is none.
 
     A document with contrary labels counts as good; null labels don't count.
     """
     good = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")).where("label = 1").select("id")
-    rules = []
-    for rule, (_, lenient, strict) in RULES.items():
-        grid = F.array(*(F.lit(c) for c in cutoffs(lenient, strict)))
-        rules.append(F.struct(F.lit(rule).alias("rule"), _first_exceeded(grid, figure(rule)).alias("first")))
-    held = measured.join(good, "id").select("stratum", F.explode(F.array(*rules)).alias("r"))
-    counts = held.groupBy("stratum", "r.rule", "r.first").agg(F.count("*").alias("c"))
-    tests = materialize(counts.groupBy("stratum", "rule").agg(F.sum("c").alias("n_good"), F.collect_list(F.struct("first", "c")).alias("hits")), "quality-counts")
+    counts = measured.join(good, "id").groupBy("stratum", first_step().alias("first")).agg(F.count("*").alias("c"))
+    counts = materialize(counts, "quality-counts")  # a row for each stratum and step
+    sizes = counts.groupBy("stratum").agg(F.sum("c").alias("n"))
+    alone = F.pow(F.lit(1 - risk), F.col("n")) <= error / max(1, sizes.count())
+    sizes = sizes.select("stratum", alone.alias("alone"), F.when(alone, F.col("stratum")).alias("tested"))
+    grouped = counts.alias("c").join(sizes.alias("s"), F.expr("c.stratum <=> s.stratum")).groupBy("alone", "tested", "first").agg(F.sum("c").alias("c"))
+    tests = materialize(grouped.groupBy("alone", "tested").agg(F.sum("c").alias("n_good"), F.collect_list(F.struct("first", "c")).alias("hits")), "quality-tests")
     level = error / max(1, tests.count())
     p = binomial_tail("n_good", "k", risk)
     tried = tests.withColumn("rejected", F.expr(f"transform(sequence(1, {STEPS}), j -> aggregate(filter(hits, x -> x.first <= j), 0L, (a, x) -> a + x.c))"))
     tried = tried.withColumn("failed", F.expr(f"array_position(transform(rejected, k -> {p} <= {level!r}D), false)"))
-    tried = tried.withColumn("passed", F.expr(f"CASE WHEN failed = 0 THEN {STEPS} ELSE failed - 1 END"))
-    cut = F.lit(None).cast("double")
-    for rule, (_, lenient, strict) in RULES.items():
-        grid = F.array(*(F.lit(c) for c in cutoffs(lenient, strict)))
-        cut = F.when((F.col("rule") == rule) & (F.col("passed") > 0), F.get(grid, F.col("passed").cast("int") - 1)).otherwise(cut)
-    return tried.select("stratum", "rule", "n_good", cut.alias("cutoff"))
+    tried = tried.withColumn("step", F.expr(f"CASE WHEN failed = 0 THEN {STEPS} ELSE failed - 1 END").cast("int"))
+    return sizes.alias("s").join(tried.alias("t"), F.expr("s.alone = t.alone AND s.tested <=> t.tested")).select("s.stratum", "t.n_good", "t.step")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", risk: float = 0.01, error: float = 0.05) -> DataFrame:
     """Verdicts: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept; a row per row.
 
     Null texts have no words and so fail the base rule.  Null strata form a stratum of their own.  Repeated rows
-    are judged each.  Without labels, or with too few, documents are kept unless they fail the base rule.  Empty
-    tables give no rows.  Windows are compared by their words, so no hash collision counts as a repetition.
+    are judged each.  Without good labels in their stratum, documents are kept unless they fail the base rule.  Empty
+    tables give no rows.  Windows are compared by their words, so no hash collision counts as a repetition.  Texts are
+    measured whole; a very long one is an array of its words in one row.  Other columns are ignored.
     """
     measured = materialize(signals(docs, id_col, text_col, stratum_col), "quality-signals")
-    chosen = calibrate(measured, labels, id_col, label_col, risk, error)
-    wide = materialize(chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES)), "quality-cutoffs")
-    judged = measured.alias("m").join(wide.alias("c"), F.expr("m.stratum <=> c.stratum"), "left")
+    chosen = materialize(calibrate(measured, labels, id_col, label_col, risk, error), "quality-steps")
+    judged = measured.withColumn("first", first_step()).alias("m").join(chosen.alias("c"), F.expr("m.stratum <=> c.stratum"), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rejected = F.lit(False)
-    for rule in RULES:
-        rejected = rejected | F.coalesce(figure(rule) > F.col(f"cut_{rule}"), F.lit(False))
+    rejected = F.col("first") <= F.coalesce("step", F.lit(0))
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~rejected).alias("kept"))
 
 
@@ -149,8 +153,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op2_sql(risk: float = 0.01, error: float = 0.05) -> str:
-    grids = " UNION ALL ".join(f"SELECT '{r}' AS rule, {i + 1} AS j, {c!r}::DOUBLE AS cutoff" for r, (_, a, b) in RULES.items() for i, c in enumerate(cutoffs(a, b)))
-    values = " UNION ALL ".join(f"SELECT doc_id, lang, '{r}' AS rule, CASE WHEN {x.split(' / ')[1]} > 0 THEN {x.replace(' / ', '::DOUBLE / ')} ELSE 0 END AS v FROM s" for r, (x, _, _) in RULES.items())
+    firsts = ", ".join(f"1 + len(list_filter({cutoffs(lenient, strict)!r}::DOUBLE[], lambda c: c >= CASE WHEN {x.split(' / ')[1]} > 0 THEN {x.replace(' / ', '::DOUBLE / ')} ELSE 0 END))" for x, lenient, strict in RULES.values())
     word = r"[^\x20\x09-\x0D]"
     return f"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}+') AS ws FROM documents),
@@ -163,23 +166,25 @@ s AS (SELECT d.doc_id, lang, len(ws) AS n_words, length(regexp_replace(t, '[\\x2
              length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines,
              len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
       FROM d JOIN lin USING (doc_id) LEFT JOIN cov USING (doc_id)),
-v AS ({values}),
-g AS ({grids}),
+f AS (SELECT *, least({firsts}) AS first FROM s),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
-k AS (SELECT lang, v.rule, j, cutoff, count(*) AS n, count(*) FILTER (WHERE v > cutoff) AS k
-      FROM v JOIN good USING (doc_id) JOIN g ON g.rule = v.rule GROUP BY 1, 2, 3, 4),
-m AS (SELECT {error!r}::DOUBLE / count(DISTINCT (lang, rule)) AS level FROM k),
-p AS (SELECT lang, rule, j, cutoff, k < n * {risk!r}::DOUBLE AND
+h AS (SELECT lang, first FROM f JOIN good USING (doc_id)),
+n AS (SELECT lang, count(*) AS n FROM h GROUP BY 1),
+own AS (SELECT lang, pow(1 - {risk!r}::DOUBLE, n) <= {error!r}::DOUBLE / (SELECT count(*) FROM n) AS alone FROM n),
+g AS (SELECT alone, CASE WHEN alone THEN h.lang END AS tested, first FROM h JOIN own ON h.lang IS NOT DISTINCT FROM own.lang),
+t AS (SELECT alone, tested, count(*) AS n FROM g GROUP BY 1, 2),
+k AS (SELECT t.alone, t.tested, n, j, (SELECT count(*) FROM g WHERE g.alone = t.alone AND g.tested IS NOT DISTINCT FROM t.tested AND first <= j) AS k
+      FROM t, range(1, {STEPS + 1}) r(j)),
+p AS (SELECT alone, tested, j, k < n * {risk!r}::DOUBLE AND
              (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r})))
-              FROM (SELECT unnest(range(0, k + 1)) AS i)) <= level AS ok FROM k, m),
-cut AS (SELECT lang, rule, min(cutoff) AS cutoff FROM p WHERE NOT EXISTS
-        (SELECT 1 FROM p q WHERE q.lang IS NOT DISTINCT FROM p.lang AND q.rule = p.rule AND q.j <= p.j AND NOT q.ok) GROUP BY 1, 2),
-bad AS (SELECT DISTINCT doc_id FROM v JOIN cut ON cut.rule = v.rule AND cut.lang IS NOT DISTINCT FROM v.lang WHERE v > cutoff)
+              FROM (SELECT unnest(range(0, k + 1)) AS i)) <= {error!r}::DOUBLE / (SELECT count(*) FROM t) AS ok FROM k),
+c AS (SELECT alone, tested, coalesce(min(j) FILTER (WHERE NOT ok) - 1, {STEPS}) AS step FROM p GROUP BY 1, 2),
+cut AS (SELECT own.lang, step FROM own JOIN c ON own.alone = c.alone AND c.tested IS NOT DISTINCT FROM CASE WHEN own.alone THEN own.lang END)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept
-FROM s
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND first > coalesce(step, 0) AS kept
+FROM f LEFT JOIN cut ON f.lang IS NOT DISTINCT FROM cut.lang
 """
 
 
