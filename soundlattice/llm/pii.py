@@ -1,11 +1,15 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base patterns give seed entities.  Other tokens of the shape of a kind, such as a number of 12 digits or more without
-a valid checksum, are candidates of that kind, and so are runs of digits written with spaces.  The lexical patterns of either are the kind with the words around: the
-two before, and the one before with the one after, or the key of key=value and key:value.  Spark scores the graph of patterns and
-instances in rounds: a pattern is as good as the mean belief in its instances, shrunk by a prior, and an instance is
-believed by the best of its patterns; seeds are believed fully.  Candidates in a pattern of high confidence are new
-spans of their kind.
+a valid checksum, are candidates of that kind, and so are runs of digits written with spaces.  Other tokens with a digit are
+of no kind, and speak against the patterns around them.  The lexical patterns of an instance are the words around it: the
+two before, the one before, the one before with the one after, or the key of key=value and key:value.
+
+Spark scores the graph of patterns and instances in rounds: a pattern is as good for a kind as the mean belief that what
+stands in it is of that kind, over all its instances of any kind or none, shrunk by a prior; an instance is believed by the
+best of its patterns; seeds are believed fully.  So a word that stands before anything is good for nothing, and a word that
+stands before telephone numbers only is good wherever it stands.  Candidates in a pattern of high confidence are new
+spans of their kind, and raise the patterns that they stand in elsewhere.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ EDGE = ".,;:!?()[]{}\"'"
 #: What may stand right before a value, also after a key's sign, and what ends a key on its left.
 OPENING = "([{\"'"
 KEY_END = GAPS + "&;,?|"
-#: Longest context word in a pattern; longer ones are known by their digest.
+#: Characters of a context word in a pattern: those nearest to the instance, so that no text is walked twice.
 CONTEXT_CHARS = 32
 
 
@@ -87,27 +91,26 @@ def shown(spans: list[tuple[str, int, int]]) -> str:
 
 def _near(word: str) -> str:
     word = word.strip(EDGE).lower()
-    if DIGIT.search(word) or "@" in word:
-        return "#"  # another identifier tells nothing of its own
-    return word if len(word) <= CONTEXT_CHARS else hashlib.sha256(word.encode()).hexdigest()[:CONTEXT_CHARS]
+    return "#" if SIGN.search(word) else word  # another identifier tells nothing of its own
 
 
 def _word_before(text: str, at: int) -> tuple[str, int]:
+    """The word before ``at``, its nearest characters at most, and where it starts; -1 if it goes on to the left."""
     end = at
     while end and text[end - 1] in GAPS:
         end -= 1
-    begin = end
-    while begin and text[begin - 1] not in GAPS:
+    begin, floor = end, max(0, end - CONTEXT_CHARS)
+    while begin > floor and text[begin - 1] not in GAPS:
         begin -= 1
-    return text[begin:end], begin
+    return text[begin:end], -1 if begin and text[begin - 1] not in GAPS else begin
 
 
 def _word_after(text: str, at: int) -> str:
     size = len(text)
     while at < size and text[at] in GAPS:
         at += 1
-    end = at
-    while end < size and text[end] not in GAPS:
+    end, top = at, min(size, at + CONTEXT_CHARS)
+    while end < top and text[end] not in GAPS:
         end += 1
     return text[at:end]
 
@@ -119,25 +122,25 @@ def _key_before(text: str, at: int) -> str | None:
     if not at or text[at - 1] not in "=:":
         return None
     begin = end = at - 1
-    while begin and text[begin - 1] not in KEY_END:
+    floor = max(0, end - CONTEXT_CHARS)
+    while begin > floor and text[begin - 1] not in KEY_END:
         begin -= 1
-        if SIGN.match(text, begin):
+        if text[begin] in "0123456789@":
             return None
     return _near(text[begin:end]) or None
 
 
 def patterns(text: str, begin: int, end: int) -> list[str]:
-    """The lexical patterns around text[begin:end], of seeds and candidates alike."""
+    """The lexical patterns around text[begin:end], of seeds, candidates and others alike."""
     key = _key_before(text, begin)
     if key is not None:
         return [f"{key} = _"]
     while begin and text[begin - 1] in OPENING:
         begin -= 1
     one, at = _word_before(text, begin)
-    two, _ = _word_before(text, at)
-    after = _near(_word_after(text, end))
-    one, two = _near(one), _near(two)
-    return [f"{two} {one} _", f"{one} _ {after}"]
+    two = "" if at < 0 else _near(_word_before(text, at)[0])
+    after, one = _near(_word_after(text, end)), _near(one)
+    return [f"{two} {one} _", f"{one} _ {after}", *([f"{one} _"] if one and one != "#" else [])]
 
 
 def shape(token: str) -> str | None:
@@ -174,10 +177,12 @@ def _runs(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str, in
         at = max(at, b)
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, bool, int, int, list[str]]]:
-    """(kind, is a seed, start, end, patterns) of seeds and of tokens and runs of digits outside them that look like a kind."""
-    out = [(k, True, a, b, [f"{k} {p}" for p in patterns(text, a, b)]) for k, a, b in base]
-    at = 0
+def candidates(text: str, base: list[tuple[str, int, int]]) -> tuple[list[tuple[str, bool, int, int, list[str]]], list[str]]:
+    """(kind, is a seed, start, end, patterns) of seeds and of tokens and runs of digits outside them that look like a kind;
+    and the patterns around other tokens with a digit."""
+    out = [(k, True, a, b, patterns(text, a, b)) for k, a, b in base]
+    runs = list(_runs(text, base))
+    others, at, run = [], 0, 0
     covered = sorted((a, b) for _, a, b in base)
     for m in TOKEN.finditer(text):
         a, b = m.span()
@@ -193,9 +198,14 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, b
             a = _value_start(text, a, b)
             kind = shape(text[a:b])
             if kind:
-                out.append((kind, False, a, b, [f"{kind} {p}" for p in patterns(text, a, b)]))
-    out += [(k, False, a, b, [f"{k} {p}" for p in patterns(text, a, b)]) for k, a, b in _runs(text, base)]
-    return out
+                out.append((kind, False, a, b, patterns(text, a, b)))
+                continue
+            while run < len(runs) and runs[run][2] <= a:
+                run += 1
+            if not (run < len(runs) and runs[run][1] < b):  # parts of a run are no tokens of their own
+                others += patterns(text, a, b)
+    out += [(k, False, a, b, patterns(text, a, b)) for k, a, b in runs]
+    return out, others
 
 
 def _digest(instance: str) -> str:
@@ -203,7 +213,7 @@ def _digest(instance: str) -> str:
     return hashlib.sha256(instance.encode()).hexdigest()[:24]
 
 
-READ = "rid string, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, found array<struct<kind:string,seed:boolean,instance:string,first:bigint,last:bigint,patterns:array<string>>>"
+READ = "rid string, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, others array<string>, found array<struct<kind:string,seed:boolean,instance:string,first:bigint,last:bigint,patterns:array<string>>>"
 
 
 def read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -213,57 +223,63 @@ def read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, base, found = [], [], []
+            counts, base, found, others = [], [], [], []
             for text in batch.column(1).to_pylist():
                 spans = base_spans(text)
                 counts.append([sum(k == s[0] for s in spans) for k in KINDS])
                 base.append(shown(spans))
-                rows = candidates(text, spans) if spans or "@" in text or DIGIT.search(text) else []
+                rows, rest = candidates(text, spans) if spans or "@" in text or DIGIT.search(text) else ([], [])
                 found.append([{"kind": k, "seed": s, "instance": _digest(text[a:b]), "first": a, "last": b, "patterns": p} for k, s, a, b, p in rows])
+                others.append(rest)
             columns = [pa.array([c[j] for c in counts], pa.int64()) for j in range(len(KINDS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(base, pa.string()), pa.array(found, pa.list_(item))], ["id", *(f"n_{k}" for k in KINDS), "base", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(base, pa.string()), pa.array(others, pa.list_(pa.string())), pa.array(found, pa.list_(item))], ["id", *(f"n_{k}" for k in KINDS), "base", "others", "found"])
 
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, " + READ.partition(", ")[2])
 
 
-def score_patterns(edges: DataFrame, rounds: int, prior: float) -> DataFrame:
-    """(pattern, confidence) from edges (pattern, instance, seed).
+def score_patterns(edges: DataFrame, others: DataFrame, rounds: int, prior: float) -> DataFrame:
+    """(pattern, kind, confidence) from edges (pattern, kind, instance, seed) and others (pattern), a row for each token of no kind.
 
     Each round is two joins and two aggregations of the graph; an instance's belief is the best of its patterns.
     """
-    edges = materialize(edges.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed")), "pii-edges")
-    beliefs = edges.groupBy("instance").agg(F.max("seed").alias("belief"))
+    edges = materialize(edges.groupBy("pattern", "kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed")), "pii-edges")
+    all_in = edges.select("pattern").unionByName(others.select("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+    sizes = materialize(all_in.join(edges.select("pattern").distinct(), "pattern", "left_semi"), "pii-sizes")
+    beliefs = edges.groupBy("kind", "instance").agg(F.max("seed").alias("belief"))
     scores = None
     for _ in range(rounds):
         beliefs = materialize(beliefs, "pii-beliefs")
-        scores = edges.join(beliefs, "instance").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + prior)).alias("confidence"))
-        scores = materialize(scores, "pii-scores")
-        beliefs = edges.join(scores, "pattern").groupBy("instance").agg(F.max(F.greatest("seed", "confidence")).alias("belief"))
+        believed = edges.join(beliefs, ["kind", "instance"]).groupBy("pattern", "kind").agg(F.sum("belief").alias("belief"))
+        scores = materialize(believed.join(sizes, "pattern").select("pattern", "kind", (F.col("belief") / (F.col("n") + prior)).alias("confidence")), "pii-scores")
+        beliefs = edges.join(scores, ["pattern", "kind"]).groupBy("kind", "instance").agg(F.max(F.greatest("seed", "confidence")).alias("belief"))
     return scores
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, prior: float = 2.0, confidence: float = 0.6) -> DataFrame:
-    """A row per input row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """A row per input row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans.
 
-    The counts and the digest cover base spans; ``spans`` lists base and discovered ones by start, then kind.  Null
-    and empty texts have no spans and the digest of an empty text.  Repeated rows are read each, and count each
-    towards patterns.  Texts are read whole; empty tables give no rows.  A pattern without a seed, or with seeds
-    among many other tokens, discovers nothing.
+    The counts and the digest cover base spans; ``spans`` lists base and discovered ones by start, then kind, each once, and
+    ``n_spans`` counts them.  Null and empty texts have no spans and the digest of an empty text.  Repeated rows are read each;
+    an instance counts once for a pattern.  Texts are read whole, in time that grows with their length; of a context word the
+    nearest CONTEXT_CHARS characters count.  Empty tables give no rows.  A pattern without a seed, or with seeds
+    among many other tokens, discovers nothing.  Other columns are ignored, whatever their names.
     """
     rows = materialize(read(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "pii-read")
-    seen = rows.select("rid", F.posexplode("found").alias("nth", "f")).select("rid", "nth", "f.seed", "f.instance", F.explode(F.array_distinct("f.patterns")).alias("pattern"))
-    good = materialize(score_patterns(seen.select("pattern", "instance", "seed"), rounds, prior).where(F.col("confidence") >= confidence).select("pattern"), "pii-patterns")
-    new = materialize(seen.where("NOT seed").join(good, "pattern").groupBy("rid").agg(F.collect_set("nth").alias("new")), "pii-new")
+    seen = rows.select("rid", F.posexplode("found").alias("nth", "f")).select("rid", "nth", "f.kind", "f.seed", "f.instance", F.explode(F.array_distinct("f.patterns")).alias("pattern"))
+    others = rows.select(F.explode("others").alias("pattern"))
+    scores = score_patterns(seen.select("pattern", "kind", "instance", "seed"), others, rounds, prior)
+    good = materialize(scores.where(F.col("confidence") >= confidence).select("pattern", "kind"), "pii-patterns")
+    new = materialize(seen.where("NOT seed").join(good, ["pattern", "kind"]).groupBy("rid").agg(F.collect_set("nth").alias("new")), "pii-new")
     order = F.array(*(F.lit(k) for k in KINDS))
     found = rows.join(new, "rid", "left").withColumn(
         "all",
-        F.expr("filter(transform(found, (f, i) -> struct(f.first AS first, f.last AS last, CASE WHEN f.seed OR coalesce(array_contains(new, i), false) THEN f.kind END AS kind)), x -> x.kind IS NOT NULL)"),
+        F.expr("array_distinct(filter(transform(found, (f, i) -> struct(f.first AS first, f.last AS last, CASE WHEN f.seed OR coalesce(array_contains(new, i), false) THEN f.kind END AS kind)), x -> x.kind IS NOT NULL))"),
     )
     found = found.withColumn("order", order)
     placed = F.expr("array_sort(transform(all, x -> struct(x.first AS first, array_position(order, x.kind) AS k, x.last AS last, x.kind AS kind)))")
     spans = F.array_join(F.transform(placed, lambda x: F.concat_ws(":", x["kind"], x["first"].cast("string"), x["last"].cast("string"))), ",")
-    return found.select(F.col("id").alias(id_col), *(f"n_{k}" for k in KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), F.coalesce(spans, F.lit("")).alias("spans"))
+    return found.select(F.col("id").alias(id_col), *(f"n_{k}" for k in KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), F.coalesce(spans, F.lit("")).alias("spans"), F.size("all").cast("long").alias("n_spans"))
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
