@@ -3,13 +3,14 @@
 Words are read as classes: insult, threat, target, negation, reported speech, or other.  Five small transducers
 read the classes of a clause side by side: their composition is one machine whose states are tuples of theirs and
 whose arcs multiply their weights.  An insult weighs more once a target was named, less within the reach of a
-negation or of reported speech; a threat counts with a target after it.  Only clauses that hold an insult or a
-threat are read.  A document's figures (sum and largest clause weight, how many clauses matched, their share)
-enter a logistic curve.
+negation or of reported speech; a threat arms its machine, and a target within its reach has the output.
+Only clauses that hold an insult or a threat are read.  A document's figures (sum and largest clause weight, how many
+clauses matched, their share) enter a logistic curve.
 
 Insults are a fixed seed list and units learned from labels: words and word beginnings whose presence separates
-the toxic from the other training documents by a likelihood ratio; their weight is their log odds.  Those beyond
-what is broadcast meet the documents' units in a join.
+the toxic from the other training documents by a likelihood ratio; their weight is their log odds.  A beginning is a unit
+only if the documents beside those of its best word are toxic ones too, so that it says more than that word.  Units
+beyond what is broadcast meet the documents' units in a join.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from pyspark.sql import functions as F
 
 from soundlattice.llm.shared import chosen, materialize, text_or_empty, whole_row
 
-# General English words of each class.
+# General words of each class, in English, German, Spanish and French.
 INSULTS = ["bastard", "clown", "creep", "disgusting", "dumb", "fool", "garbage", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "pig", "scum", "stupid", "trash", "ugly", "vermin", "worthless"]
-THREATS = ["beat", "burn", "crush", "destroy", "hurt", "kill", "murder", "punch", "shoot", "stab", "strangle"]
-TARGETS = ["he", "her", "him", "she", "them", "they", "you", "your", "yours", "yourself"]
-NEGATIONS = ["isn't", "never", "no", "not", "wasn't", "without"]
-REPORTS = ["alleged", "called", "claimed", "quoted", "reported", "said", "says", "wrote"]
+THREATS = ["beat", "burn", "crush", "destroy", "hurt", "kill", "murder", "punch", "shoot", "stab", "strangle", "schlage", "töte", "verbrenne", "vernichte", "aplastaré", "mataré", "quemaré", "brûlerai", "frapperai", "tuerai"]
+TARGETS = ["he", "her", "him", "she", "them", "they", "you", "your", "yours", "yourself", "dich", "dir", "du", "euch", "ihn", "ihr", "sie", "él", "ella", "ellos", "te", "ti", "tú", "usted", "elle", "eux", "il", "ils", "toi", "tu", "vous"]
+NEGATIONS = ["isn't", "never", "no", "not", "wasn't", "without", "kein", "keine", "nicht", "nie", "ohne", "jamás", "nunca", "sin", "jamais", "ne", "non", "pas", "sans"]
+REPORTS = ["alleged", "called", "claimed", "quoted", "reported", "said", "says", "wrote", "behauptet", "nannte", "sagt", "sagte", "schrieb", "dice", "dijo", "escribió", "llamó", "appelé", "déclaré", "disait", "écrit"]
+#: Weight of a threat that meets its target.
+THREAT = 3.0
 
 #: Units sent to the executors at most, those in the most toxic documents first; the others stay a distributed table.
 BROADCAST_UNITS = 16_384
@@ -40,9 +43,10 @@ BROADCAST_UNITS = 16_384
 FILTER_BITS = 1 << 26
 #: Least log likelihood ratio of a learned unit against the base rate.
 MIN_RATIO = 10.0
+#: Least share of toxic documents among those of a unit, and least number of them.
+MIN_RATE, MIN_DOCUMENTS = 0.7, 3
 #: Beginnings of words that may be units, in characters.
 STEMS = (4, 5, 6)
-MAX_UNIT_CHARS = 24
 #: Labelled rows that fit the logistic curve, about, chosen by hash.
 FIT_ROWS = 20_000
 FIGURES = ("total", "largest", "matched", "share")
@@ -80,28 +84,23 @@ class Machine:
 def grammar(reach: int = 3) -> dict:
     """The composed transducer.  Classes: I insult, T threat, Y target, N negation, R report, O other.
 
-    A word's output is the product of all weights; only insults and threats have an output other than zero.
+    A word's output is the product of all weights: that of an insult, and that of a target while a threat is armed.
+    A threat within a negation's reach carries the negation on to its target.
     """
-    base = Machine([0], lambda s, c: (0, {"I": 1.0, "T": 0.5}.get(c, 0.0)))
+    base = Machine([0], lambda s, c: (0, {"I": 1.0, "Y": 0.5}.get(c, 0.0)))
     target = Machine([0, 1], lambda s, c: (1 if c == "Y" else s, 1.5 if s and c == "I" else 1.0))
-    threat = Machine([0, 1], lambda s, c: (int(c == "T" or (s and c == "O")), 1.0))
-    negation = Machine(range(reach + 1), lambda s, c: (reach if c == "N" else max(0, s - 1), 0.3 if s and c in "IT" else 1.0))
-    report = Machine([0, 1], lambda s, c: (int(s or c == "R"), 0.5 if s and c in "IT" else 1.0))
+    threat = Machine(range(reach + 1), lambda s, c: (reach if c == "T" else 0 if c == "Y" else max(0, s - 1), float(s > 0) if c == "Y" else 1.0))
+    negation = Machine(range(reach + 1), lambda s, c: (reach if c == "N" or (s and c == "T") else max(0, s - 1), 0.3 if s and c in "IY" else 1.0))
+    report = Machine([0, 1], lambda s, c: (int(s or c == "R"), 0.5 if s and c in "IY" else 1.0))
     return (base * target * threat * negation * report).table("ITYNRO")
 
 
 def clause_weight(kinds: list[tuple[str, float]], table: dict) -> float:
     """The weight of a clause given as (class, weight of the word)."""
-    state, total, pending = 0, 0.0, 0.0
+    state, total = 0, 0.0
     for kind, weight in kinds:
         state, factor = table[state, kind]
-        if kind == "I":
-            total += factor * weight
-        elif kind == "T":
-            pending = factor * weight
-        elif kind == "Y" and pending:
-            total += pending
-            pending = 0.0
+        total += factor * weight
     return total
 
 
@@ -142,7 +141,7 @@ class Scorer:
         if weight:
             return "I", weight
         kind = self.kinds.get(word, "O")
-        return kind, 3.0 if kind == "T" else 0.0
+        return kind, THREAT if kind == "Y" else 0.0
 
     def first(self, text: str, at: int, rare: dict[str, float] | None) -> re.Match | None:
         """The first insult or threat from ``at`` on."""
@@ -173,8 +172,7 @@ def units_of_word(word: str) -> list[str]:
 
 
 def units_of(text: str) -> set[str]:
-    words = {w for w in WORD.findall(text.lower()) if len(w) <= MAX_UNIT_CHARS}
-    return words | {f"^{w[:n]}" for w in words for n in STEMS if len(w) >= n}
+    return {u for w in set(WORD.findall(text.lower())) for u in units_of_word(w)}
 
 
 def _training(column: Column) -> Column:
@@ -185,8 +183,9 @@ def _training(column: Column) -> Column:
 def learn_units(labelled: DataFrame) -> tuple[dict[str, float], DataFrame | None]:
     """Units and weights from (text, label) rows; counts cover all rows.
 
-    All units that pass the tests are kept, but those that say nothing beyond a shorter beginning of at least their
-    weight.  The first BROADCAST_UNITS come as a dictionary, the others, if any, as a table (unit, weight).
+    All units that pass the tests are kept, but beginnings that say nothing beyond their best word, and those that
+    say nothing beyond a shorter beginning of at least their weight.  The first BROADCAST_UNITS come as a dictionary,
+    the others, if any, as a table (unit, weight).
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,13 +213,25 @@ def learn_units(labelled: DataFrame) -> tuple[dict[str, float], DataFrame | None
     if not 0 < sizes["toxic"] < sizes["all"]:
         return {}, None
     base = sizes["toxic"] / sizes["all"]
-    counts = labelled.select("text", "label").mapInArrow(count, "unit string, toxic bigint, clean bigint").groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 3")
-    rate = (F.col("t") + 0.5) / (F.col("t") + F.col("c") + 1)
-    ratio = F.col("t") * F.log(rate / base) + F.col("c") * F.log((1 - rate) / (1 - base))
-    odds = F.log(F.col("rate") / (1 - F.col("rate"))) - math.log(base / (1 - base))
-    passed = counts.withColumn("rate", rate).where((ratio >= MIN_RATIO) & (F.col("rate") >= 0.7))
-    passed = materialize(passed.select("unit", "t", F.least(F.lit(6.0), odds).alias("weight")), "toxic-units")
+    counts = labelled.select("text", "label").mapInArrow(count, "unit string, toxic bigint, clean bigint").groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where(F.col("t") >= MIN_DOCUMENTS)
+    counts = materialize(counts, "toxic-counts")
+    prior = math.log(base / (1 - base))
+
+    def rate(t: str, c: str) -> Column:
+        return (F.col(t) + 0.5) / (F.col(t) + F.col(c) + 1)
+
     plain = F.expr("CASE WHEN unit LIKE '^%' THEN substring(unit, 2) ELSE unit END")
+    beginnings = F.filter(F.array(*(F.when(F.length("unit") >= n, F.concat(F.lit("^"), F.substring("unit", 1, n))) for n in STEMS)), lambda u: u.isNotNull())
+    ratio = F.col("t") * F.log(F.col("rate") / base) + F.col("c") * F.log((1 - F.col("rate")) / (1 - base))
+    passed = counts.withColumn("rate", rate("t", "c")).where((ratio >= MIN_RATIO) & (F.col("rate") >= MIN_RATE))
+    passed = passed.select("unit", "t", "c", F.least(F.lit(6.0), F.log(F.col("rate") / (1 - F.col("rate"))) - prior).alias("weight"))
+    words = counts.where("unit NOT LIKE '^%'").select("t", "c", F.explode(beginnings).alias("unit"))
+    best = words.groupBy("unit").agg(F.max(F.struct("t", "c")).alias("best"))  # a word that occurs in fewer documents takes less away
+    wider = passed.where("unit LIKE '^%'").join(best.hint("merge"), "unit", "left")
+    wider = wider.withColumns({"t1": F.col("t") - F.coalesce("best.t", F.lit(0)), "c1": F.greatest(F.lit(0), F.col("c") - F.coalesce("best.c", F.lit(0)))})
+    wider = wider.where((F.col("t1") >= MIN_DOCUMENTS) & (rate("t1", "c1") >= MIN_RATE))
+    passed = passed.where("unit NOT LIKE '^%'").select("unit", "t", "weight").unionByName(wider.select("unit", "t", "weight"))
+    passed = materialize(passed, "toxic-units")
     size = F.length(plain) - F.col("unit").startswith("^").cast("int")  # a beginning is no shorter one of itself
     shorter = F.filter(F.array(*(F.when(size >= n, F.concat(F.lit("^"), F.substring(plain, 1, n))) for n in STEMS)), lambda u: u.isNotNull())
     stems = passed.where("unit LIKE '^%'").select(F.col("unit").alias("stem"), F.col("weight").alias("of"))
@@ -311,7 +322,7 @@ def read_figures(docs: DataFrame, id_col: str, text_col: str, units, with_row: b
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", with_row: bool = False) -> DataFrame:
-    """A row per input row: id, held_out, score in [0, 1], predicted (1 from 0.7 on).
+    """A row per input row: id, held_out, score in [0, 1], predicted (1 from 0.7 on).  Documents are scored in one reading.
 
     ``with_row`` adds the input row as the struct ``row``.  Labels are learned from training rows only; scores come
     from the text alone.  Null and empty texts, and those without a matching clause, get the curve's constant.
@@ -324,15 +335,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     frequent, others = learn_units(labelled)
     units = spark.sparkContext.broadcast(frequent)  # BROADCAST_UNITS entries at most
     rare = None if others is None else materialize(rare_units(docs, text_col, others), "toxic-rare")
-    read = materialize(read_figures(docs, id_col, text_col, units, rare=rare), "toxic-figures")
-    pairs = read.where(_training(F.col("id"))).join(marks, "id")
-    fit = pairs.where(chosen(FIT_ROWS, marks.count(), "id")).limit(2 * FIT_ROWS).select("label", *FIGURES).toPandas()
-    if 0 < (fit["label"] == 1).sum() < len(fit):
-        curve = fit_logistic(fit[list(FIGURES)].to_numpy(), (fit["label"] == 1).to_numpy(dtype=float)).tolist()
+    some = materialize(marks.where(chosen(FIT_ROWS, marks.count(), "id")).limit(2 * FIT_ROWS), "toxic-sample")
+    sample = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(some), "id").select("label", "text").limit(2 * FIT_ROWS)
+    fit = read_figures(sample, "label", "text", units, rare=rare).toPandas()  # 2 * FIT_ROWS rows at most, there and back
+    if 0 < (fit["id"] == 1).sum() < len(fit):
+        curve = fit_logistic(fit[list(FIGURES)].to_numpy(), (fit["id"] == 1).to_numpy(dtype=float)).tolist()
     else:
         curve = DEFAULT_CURVE
-    if with_row:
-        read = read_figures(docs, id_col, text_col, units, True, rare)
+    read = read_figures(docs, id_col, text_col, units, with_row, rare)
     line = F.lit(float(curve[0]))
     for w, f in zip(curve[1:], FIGURES, strict=True):
         line = line + float(w) * F.col(f)

@@ -651,3 +651,48 @@ def test_long_texts_without_gaps_are_read_in_linear_time():
         spans = pii.base_spans(text)
         pii.candidates(text, spans)
         assert time.process_time() - began < 20
+
+
+def plain_figures(text, units):
+    """The grammar's figures by counters, clause by clause; ``units`` are words and, after a caret, beginnings."""
+    found = []
+    for clause in re.split(r"[.!?;:\n]", text.lower()):
+        total, target, armed, denied, reported = 0.0, False, 0, 0, False
+        for word in toxicity.WORD.findall(clause):
+            weight = max([units.get(word, 3.0 if word in toxicity.INSULTS else 0.0), *(units.get("^" + word[:n], 0.0) for n in toxicity.STEMS)])
+            if weight:
+                total += weight * (1.5 if target else 1) * (0.3 if denied else 1) * (0.5 if reported else 1)
+            if not weight and word in toxicity.TARGETS and armed:
+                total += 0.5 * toxicity.THREAT * (0.3 if denied else 1) * (0.5 if reported else 1)
+            kind = "I" if weight else next((k for k, words in zip("TYNR", (toxicity.THREATS, toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS), strict=True) if word in words), "O")
+            target |= kind == "Y"
+            armed = 3 if kind == "T" else 0 if kind == "Y" else max(0, armed - 1)
+            denied = 3 if kind == "N" or (denied and kind == "T") else max(0, denied - 1)
+            reported |= kind == "R"
+        if total > 0:
+            found.append(total)
+    if not found:
+        return 0.0, 0.0, 0.0, 0.0
+    return math.log1p(sum(found)), math.log1p(max(found)), math.log1p(len(found)), math.sqrt(len(found) / (1 + sum(text.count(c) for c in ".!?;:\n")))
+
+
+@settings(deadline=None)
+@given(st.lists(st.sampled_from(["you", "idiot", "kill", "not", "said", "the", "dich", "töte", "nicht", "zork", "zorkish", "blam", "blame", ".", "!", "\n", "he's", "Stupid"]), max_size=25))
+def test_figures_are_those_of_plain_counters(words):
+    units = {"zork": 2.5, "^blam": 1.5}
+    text = " ".join(words)
+    assert toxicity.Scorer(units).figures(text) == pytest.approx(plain_figures(text, units))
+
+
+def test_threats_need_a_target_within_reach():
+    table = toxicity.grammar()
+    weigh = lambda kinds: toxicity.clause_weight([(k, 2.0) for k in kinds], table)
+    assert weigh("TOY") == 1 and weigh("TOOOOY") == 0 and weigh("TYY") == 1 and weigh("RTOY") == pytest.approx(0.5) and weigh("NOTOOY") == pytest.approx(0.3)
+
+
+def test_a_beginning_must_say_more_than_its_best_word(spark):
+    """One toxic word alone makes no beginning a unit, three do."""
+    say = lambda w, i: f"one two {w} three four n{i}"
+    rows = [(say("zorblax", i), 1) for i in range(200)] + [(say(w, i), 1) for w in ("quibons", "quibond", "quiboff") for i in range(60)] + [(say("plain", i), 0) for i in range(1500)]
+    units, rest = toxicity.learn_units(spark.createDataFrame(rows, "text string, label int"))
+    assert rest is None and "zorblax" in units and not any(u.startswith("^zorb") for u in units) and "^quib" in units
