@@ -160,10 +160,9 @@ def test_steps_are_distributions():
     counts, words = small_vocabulary()
     net = language_model.Network(priors=words.priors)
     h = np.random.default_rng(0).normal(size=(1, language_model.HIDDEN)).astype(np.float32)
-    head = np.arange(language_model.HEAD)
-    every = np.r_[head, language_model.HEAD + np.arange(language_model.TAIL)]
+    every = np.arange(language_model.HEAD + language_model.TAIL)
     cls, word = language_model.split_ids(every)
-    p = np.exp(net.log_probabilities(np.repeat(h, len(every), axis=0), cls, word)[0].astype(float))
+    p = np.exp(net.log_probabilities(np.repeat(h.T, len(every), axis=1), cls, word)[0].astype(float))
     assert p.sum() == pytest.approx(1, abs=1e-4)
     within = np.zeros(language_model.TAIL)
     for w in counts:
@@ -181,12 +180,12 @@ def test_gradient_is_the_slope():
     weight = (where >= 0).astype(np.float32)
     net.flat = net.flat.astype(np.float64)
     net.view = net.views(net.flat)
-    h0 = np.zeros((live, language_model.HIDDEN))
+    h0 = np.zeros((language_model.HIDDEN, live))
     grad, _ = net.gradient(x, reset, cls, word, weight, h0)
 
     def loss():
         hs, _, _ = net.states(x, reset, h0, False)
-        lp, _ = net.log_probabilities(hs.reshape(-1, language_model.HIDDEN).astype(np.float64), cls.ravel(), word.ravel())
+        lp, _ = net.log_probabilities(hs.reshape(language_model.HIDDEN, -1).astype(np.float64), cls.ravel(), word.ravel())
         return -(lp * weight.ravel()).sum() / weight.sum()
 
     for i in np.argsort(-np.abs(grad))[[0, 5, 50, 200, 400]]:
@@ -219,6 +218,10 @@ def test_language_model(spark, odd, empty):
     rows = rows_of(got, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
     assert [r[:5] for r in rows] == [w[:5] for w in want]
     assert np.allclose([r[5] for r in rows], [w[5] for w in want])
+    split = language_model.score_documents(docs.repartition(16), shard_tokens=20_000)
+    other = language_model.score_documents(docs.coalesce(2), shard_tokens=20_000)  # neither splits nor order matter
+    scores = [sorted(((repr(r["doc_id"]), r["n_tokens"], r["score"]) for r in df.collect())) for df in (split, other)]
+    assert [s[:2] for s in scores[0]] == [s[:2] for s in scores[1]] and np.allclose([s[2] for s in scores[0]], [s[2] for s in scores[1]], rtol=1e-4)
     unseen = [r for r in got.collect() if r["held_out"]]
     assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen) and all(r["score"] < 0 for r in unseen)
     assert language_model.score_documents(empty).count() == 0
