@@ -17,10 +17,12 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local mode) a temporary folder is made and stored in the setting.
+    Only where that is unset in local mode (tests) a temporary folder is made and stored in the setting.
     """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="soundlattice-")
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
