@@ -66,12 +66,12 @@ def _mfcc(x, rate, frame):
 
 @feature("centroid", _doubles("spectral_centroid_mean", "spectral_centroid_std", "spectral_centroid_max"))
 def _centroid(x, rate, frame):
-    return S.stats(S.centroid(_spectra(x, frame)), "spectral_centroid", with_max=True)
+    return S.stats(S.centroid(_spectra(x, frame), rate / frame), "spectral_centroid", with_max=True)
 
 
 @feature("rolloff", _doubles("rolloff_mean", "rolloff_std", "rolloff_max"))
 def _rolloff(x, rate, frame):
-    return S.stats(S.rolloff(_spectra(x, frame)), "rolloff", with_max=True)
+    return S.stats(S.rolloff(_spectra(x, frame), rate / frame), "rolloff", with_max=True)
 
 
 @feature("contrast", _lists("spectral_contrast_mean", "spectral_contrast_std", "spectral_valley_mean", "spectral_valley_std"))
@@ -121,12 +121,12 @@ def _gfcc(x, rate, frame):
 @feature("tonal", "most_common_chords array<string>, most_common_keys array<string>, " + _doubles("mfcc_peak_energy", "mfcc_avg_energy", "pitch_salience", "avg_dissonance", "avg_rollof") + ", tristimulus array<double>")
 def _tonal(x, rate, frame):
     raw = S.frame_matrix(x, frame, frame, exclusive=False)
-    spec = S.spectra(raw, S.blackman_harris)
+    spec = S.spectra(raw)
     kept = [(i, f, m) for i, (f, m) in enumerate(S.peaks(spec, rate)) if len(f)]
     if not kept:
         return {}
     chords = Counter(S.chord(S.chroma(f, m)) for _, f, m in kept)
-    keys = Counter(S.CHORD_NAMES[int(np.argmax(S.chroma(f, m)))] for _, f, m in kept)
+    keys = Counter(S.key_of(S.chroma(f, m)) for _, f, m in kept)
     rows = [i for i, _, _ in kept]
     bands = S.mel_bands(spec[rows], rate=rate)
     return {
@@ -136,8 +136,8 @@ def _tonal(x, rate, frame):
         "mfcc_avg_energy": float(bands.mean()),
         "pitch_salience": float(np.mean([S.pitch_salience(raw[i]) for i in rows])),
         "avg_dissonance": float(np.mean([S.dissonance(f, m) for _, f, m in kept])),
-        "avg_rollof": float(S.rolloff(spec[rows]).mean()),
-        "tristimulus": list(S.tristimulus(kept[0][2])),
+        "avg_rollof": float(S.rolloff(spec[rows], rate / frame).mean()),
+        "tristimulus": np.mean([S.tristimulus(m) for _, _, m in kept], axis=0).tolist(),
     }
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,14 +56,15 @@ def metadata_columns(df: DataFrame, num: list[str], dim: list[str], key: str = "
     return [c for c in df.columns if c not in {*num, *dim, key}]
 
 
-def pool_dataframe(df: DataFrame, num: list[str], dim: dict[str, int], order: list[str], key: str = "filename") -> DataFrame:
+def pool_dataframe(df: DataFrame, num: list[str], dim: dict[str, int], order: list[str], key: str = "filename", aggregates: dict[str, Callable[[str], Column]] | None = None) -> DataFrame:
     """A row per key: the first non-null metadata, means that pass over NaN, means of vectors; null keys go.
 
-    Columns come as key, metadata, numbers, vectors.
+    Columns come as key, metadata, numbers, vectors.  ``aggregates`` maps columns to aggregates of their own.
     """
-    place = F.struct(*order)
-    first = [F.min_by(m, F.when(F.col(m).isNotNull(), place)).alias(m) for m in metadata_columns(df, num, list(dim), key)]
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*first, *(F.avg(no_nan(c)).alias(c) for c in num), *(vector_aggregate(v, n).alias(v) for v, n in dim.items()))
+    place, own = F.struct(*order), aggregates or {}
+    first = {m: F.min_by(m, F.when(F.col(m).isNotNull(), place)) for m in metadata_columns(df, num, list(dim), key)}
+    pooled = first | {c: F.avg(no_nan(c)) for c in num} | {v: vector_aggregate(v, n) for v, n in dim.items()}
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*((own[c](c) if c in own else how).alias(c) for c, how in pooled.items()))
 
 
 def top_modes(df: DataFrame, key: str, value: str, order: str, n: int = 5) -> DataFrame:
@@ -78,12 +81,20 @@ def flat_mean(df: DataFrame, key: str, lists: str) -> DataFrame:
 
 
 def normalized_histogram(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
-    """Sums of vectors divided by their total, and the histogram's mean and population variance."""
+    """(key, hist): sums of vectors divided by their total; null elements where the total is zero."""
     sums = df.groupBy(key).agg(vector_aggregate(vector, width, F.sum).alias("s"))
-    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x)
-    hist = sums.select(key, F.transform("s", lambda x: F.try_divide(x, total)).alias("hist"))
-    mean = F.aggregate("hist", F.lit(0.0), lambda a, x: a + x) / width
-    return hist.select(key, "hist", mean.alias("hist_mean"), (F.aggregate("hist", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / width).alias("hist_var"))
+    summed = sums.withColumn("total", F.aggregate("s", F.lit(0.0), lambda a, x: a + x))
+    return summed.select(key, F.transform("s", lambda x: F.try_divide(x, F.col("total"))).alias("hist"))
+
+
+def pitch_features(df: DataFrame, key: str, frequency: str, activation: str, width: int) -> DataFrame:
+    """(key, pitch_hist, pitch_mean, pitch_var) from a row per frame.
+
+    The histogram is that of the activations; mean and population variance are those of the frequencies.
+    """
+    hist = normalized_histogram(df, key, activation, width).withColumnRenamed("hist", "pitch_hist")
+    track = df.groupBy(key).agg(F.avg(F.col(frequency).cast("double")).alias("pitch_mean"), F.var_pop(F.col(frequency).cast("double")).alias("pitch_var"))
+    return hist.join(track, key)
 
 
 def max_mean_flat(df: DataFrame, key: str, lists: str) -> DataFrame:

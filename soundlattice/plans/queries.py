@@ -214,10 +214,13 @@ def agg_flat_mean(spark, sf):
     return pooling.flat_mean(df, "label", "l").select("label", r6(F.col("flat_mean"), "flat_mean"), r6(F.col("mean_count"), "mean_count"))
 
 
-@query("agg_norm_hist", f"WITH s AS (SELECT label, i, sum(abs(x)) AS s FROM ({ELEMENTS}) GROUP BY 1, 2), h AS (SELECT label, i, s / sum(s) OVER (PARTITION BY label) AS h FROM s) SELECT label, round(max(h) FILTER (WHERE i = 0), 6) AS first, round(avg(h), 6) AS hist_mean, round(var_pop(h), 9) AS hist_var FROM h GROUP BY 1")
+HISTOGRAM = f"WITH s AS (SELECT label, i, sum(abs(x)) AS s FROM ({ELEMENTS}) GROUP BY 1, 2), h AS (SELECT label, i, s / sum(s) OVER (PARTITION BY label) AS h FROM s)"
+
+
+@query("agg_norm_hist", f"{HISTOGRAM} SELECT label, i::INTEGER AS i, round(h, 9) AS h FROM h")
 def agg_norm_hist(spark, sf):
     df = table(spark, sf, "embeddings").select("label", F.transform(V.doubles("embedding"), F.abs).alias("v"))
-    return pooling.normalized_histogram(df, "label", "v", 64).select("label", r6(F.col("hist")[0], "first"), r6(F.col("hist_mean"), "hist_mean"), F.round("hist_var", 9).alias("hist_var"))
+    return pooling.normalized_histogram(df, "label", "v", 64).select("label", F.posexplode("hist").alias("i", "h")).select("label", "i", F.round("h", 9).alias("h"))
 
 
 @query("agg_max_avg_flat", f"SELECT label, round(max(x), 6) AS peak, round(avg(x), 6) AS mean FROM ({ELEMENTS}) GROUP BY 1")
@@ -612,10 +615,10 @@ def feature_query(name: str, feature: str, sql: str | None = None) -> None:
 
 
 feature_query("dsp_energy", "energy", "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) / 64, 6) AS avg_energy FROM embeddings")
-feature_query("dsp_centroid", "centroid", per_frame("sum(k * m) / sum(m)", "spectral_centroid", True))
+feature_query("dsp_centroid", "centroid", per_frame("sum(k * 2756.25 * m) / sum(m)", "spectral_centroid", True))
 feature_query("dsp_hfc", "hfc", per_frame("sum(k * m * m)", "hfc"))
 feature_query("dsp_flatness", "flatness", per_frame("10 * log10(exp(avg(ln(greatest(m, 1e-12)))) / avg(greatest(m, 1e-12)))", "flatness_db"))
-feature_query("dsp_rolloff", "rolloff", per_frame("count(*) FILTER (WHERE c < 0.85 * t)::DOUBLE", "rolloff", True, "(SELECT *, sum(m * m) OVER (PARTITION BY vec_id, f ORDER BY k) AS c, sum(m * m) OVER (PARTITION BY vec_id, f) AS t FROM m)"))
+feature_query("dsp_rolloff", "rolloff", per_frame("count(*) FILTER (WHERE c < 0.85 * t) * 2756.25", "rolloff", True, "(SELECT *, sum(m * m) OVER (PARTITION BY vec_id, f ORDER BY k) AS c, sum(m * m) OVER (PARTITION BY vec_id, f) AS t FROM m)"))
 feature_query("dsp_flux", "flux", per_frame("sqrt(sum(d * d))", "flux", False, "(SELECT *, m - coalesce(lag(m) OVER (PARTITION BY vec_id, k ORDER BY f), 0) AS d FROM m)"))
 _BAND_SQL = ", ".join(f"round(avg({b}), 6) AS {b}_mean, round(stddev_pop({b}), 6) AS {b}_std" for b in features.S.BANDS)
 _SHARE_SQL = ", ".join(f"coalesce(sum(m * m) FILTER (WHERE k * 2756.25 >= {lo} AND k * 2756.25 < {hi}), 0) / sum(m * m) AS {b}" for b, (lo, hi) in features.S.BANDS.items())
@@ -639,10 +642,12 @@ def dsp_resample_mono(spark, sf):
     return out.select("vec_id", F.size("signal").cast("long").alias("n"), F.round(F.col("signal")[0], 4).alias("first"))
 
 
-@query("dsp_pitch", f"WITH s AS (SELECT label, i, sum(abs(x)) AS s FROM ({ELEMENTS}) GROUP BY 1, 2), h AS (SELECT label, i, s / sum(s) OVER (PARTITION BY label) AS h FROM s) SELECT label, round(avg(h), 6) AS pitch_mean, round(var_pop(h), 9) AS pitch_var FROM h GROUP BY 1")
+@query("dsp_pitch", f"{HISTOGRAM}, t AS (SELECT label, 440 * pow(2, embedding[1]::DOUBLE) AS f FROM embeddings), p AS (SELECT label, avg(f) AS m, var_pop(f) AS v FROM t GROUP BY 1) SELECT h.label, i::INTEGER AS i, round(h, 9) AS pitch_hist, round(m, 6) AS pitch_mean, round(v, 6) AS pitch_var FROM h JOIN p ON p.label = h.label")
 def dsp_pitch(spark, sf):
-    activations = table(spark, sf, "embeddings").select("label", F.transform(V.doubles("embedding"), F.abs).alias("v"))
-    return pooling.normalized_histogram(activations, "label", "v", 64).select("label", r6(F.col("hist_mean"), "pitch_mean"), F.round("hist_var", 9).alias("pitch_var"))
+    """Each row is a frame: its activations, and a frequency made from the first of them."""
+    frames = table(spark, sf, "embeddings").select("label", F.transform(V.doubles("embedding"), F.abs).alias("v"), (440 * F.pow(F.lit(2.0), F.col("embedding")[0].cast("double"))).alias("f"))
+    found = pooling.pitch_features(frames, "label", "f", "v", 64)
+    return found.select("label", F.posexplode("pitch_hist").alias("i", "h"), "pitch_mean", "pitch_var").select("label", "i", F.round("h", 9).alias("pitch_hist"), r6(F.col("pitch_mean"), "pitch_mean"), r6(F.col("pitch_var"), "pitch_var"))
 
 
 # Models ----------------------------------------------------------------------------------------------------------------

@@ -100,9 +100,36 @@ def test_spectral_features():
     clicks = np.zeros(44_100 * 8)
     clicks[:: 44_100 // 2] = 1
     assert S.bpm(clicks) == pytest.approx(120, rel=0.03)
+    assert S.centroid(s, 44_100 / 1024).mean() == pytest.approx(1000, rel=0.05) and S.rolloff(s, 44_100 / 1024).max() == pytest.approx(1000, abs=90)
+    assert S.key_of(np.eye(12)[[0, 2, 4, 5, 7, 9, 11, 0, 4, 7]].sum(axis=0)) == "C_major" and S.key_of(np.eye(12)[[9, 0, 4, 9, 2]].sum(axis=0)) == "A_minor"
     assert S.chord(np.eye(12)[[0, 4, 7]].sum(axis=0)) == "C" and math.isnan(S.energy(np.zeros(0)))
 
 
+def test_loudness_of_reference_tones():
+    """A full-scale tone of 997 Hz has -3.01 in one channel and 0 in two; 60 Hz weighs less, quiet parts are gated."""
+    t = np.arange(48_000 * 8) / 48_000
+    tone = np.sin(2 * np.pi * 997 * t)
+    level, spread = S.loudness(tone, 48_000)
+    assert level == pytest.approx(-3.01, abs=0.02) and spread == pytest.approx(0, abs=0.1)
+    assert S.loudness(np.stack([tone, tone], axis=1), 48_000)[0] == pytest.approx(0, abs=0.02)
+    assert S.loudness(np.sin(2 * np.pi * 30 * t), 48_000)[0] < -8
+    assert S.loudness(np.where(t < 4, tone, 0.001 * tone), 48_000)[0] == pytest.approx(-3.1, abs=0.3)
+    assert math.isnan(S.loudness(np.zeros(0))[0])
+
+
+def test_pitch_features(spark):
+    rows = [(1, 100.0, [1.0, 0.0]), (1, 200.0, [1.0, 2.0]), (2, 50.0, [0.0, 0.0])]
+    got = {r["k"]: r for r in pooling.pitch_features(spark.createDataFrame(rows, "k int, f double, a array<double>"), "k", "f", "a", 2).collect()}
+    assert got[1]["pitch_hist"] == [0.5, 0.5] and (got[1]["pitch_mean"], got[1]["pitch_var"]) == (150, 2500)
+    assert got[2]["pitch_hist"] == [None, None] and got[2]["pitch_mean"] == 50
+
+
+def test_pooling_with_own_aggregates(spark):
+    df = spark.createDataFrame([("a", 1, 2.0, "x"), ("a", 2, 5.0, "y")], "filename string, n int, v double, m string")
+    got = pooling.pool_dataframe(df, ["v"], {}, ["n"], aggregates={"v": F.max, "m": F.count}).first()
+    assert (got["v"], got["m"], got["n"]) == (5.0, 2, 1)
+
+
 def test_feature_stage(spark):
     signal = np.sin(np.arange(8192) / 9).tolist()
     df = spark.createDataFrame([(1, signal), (2, None), (3, [0.0] * 10)], "k int, x array<double>")
