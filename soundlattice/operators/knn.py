@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from soundlattice.functions import vectors as V
 from soundlattice.operators import distances as D
+from soundlattice.operators import pooling as P
+from soundlattice.session import scratch
 
-#: Query rows in one block; a block is broadcast as one row of arrays.
-BLOCK_ROWS = 256
+#: Bytes of queries that are sent to every task at once; larger sets are scored in passes.
+BROADCAST_BYTES = 64 << 20
 
 
 def check_config(expand: bool, normalize_dimensional: bool) -> None:
@@ -32,24 +37,45 @@ def zscore(dataset: DataFrame, features: list[str], *others: DataFrame) -> list[
     return out
 
 
+def zscore_vectors(dataset: DataFrame, widths: dict[str, int], *others: DataFrame) -> list[DataFrame]:
+    """As ``zscore`` for vectors, element by element; vectors of other lengths become null."""
+    stats = dataset.agg(*(P.vector_aggregate(v, n).alias(f"{v}__m") for v, n in widths.items()), *(P.vector_aggregate(v, n, F.stddev_pop).alias(f"{v}__s") for v, n in widths.items()))
+    scaled = lambda v: F.transform(F.arrays_zip(F.col(v).alias("x"), F.col(f"{v}__m").alias("m"), F.col(f"{v}__s").alias("s")), lambda e: (e["x"].cast("double") - e["m"]) / F.when(e["s"] == 0, 1.0).otherwise(e["s"]))
+    out = []
+    for df in (dataset, *others):
+        joined = df.crossJoin(F.broadcast(stats))  # one row
+        out.append(joined.withColumns({v: F.when(F.size(v) == n, scaled(v)) for v, n in widths.items()}).select(*df.columns))
+    return out
+
+
+def vector_widths(dataset: DataFrame, vectors: list[str]) -> dict[str, int]:
+    """The longest length of each vector column."""
+    found = dataset.agg(*(F.coalesce(F.max(F.size(v)), F.lit(0)).alias(v) for v in vectors)).first()
+    return {v: max(0, found[v]) for v in vectors}
+
+
 def prepare(df: DataFrame, dims: dict[str, float]) -> DataFrame:
     """Vectors as doubles with their norms, once for each row and not for each pair."""
     df = df.withColumns({f: V.doubles(f) for f in dims})
     return df.withColumns({f"{f}__norm": V.norm(F.col(f)) for f in dims})
 
 
-def few(queries: DataFrame) -> bool:
-    """Whether the query set is one block."""
-    return queries.limit(BLOCK_ROWS + 1).count() <= BLOCK_ROWS
+class Queries:
+    """A query set that is computed, written and counted once, in passes of bounded size."""
 
+    def __init__(self, queries: DataFrame, columns: list[str]):
+        path = scratch(queries.sparkSession, "queries")
+        queries.select(*columns, F.monotonically_increasing_id().alias("__nth")).write.parquet(path)
+        self.rows, self.columns = queries.sparkSession.read.parquet(path), columns
+        vectors = [f.name for f in self.rows.schema if isinstance(f.dataType, ArrayType)]
+        length = sum((F.greatest(F.size(v), F.lit(0)) for v in vectors), F.lit(0))
+        size = self.rows.agg(F.count("*").alias("n"), F.coalesce(F.max(length), F.lit(0)).alias("most")).first()
+        row_bytes = 16 * (len(columns) + 1) + 8 * size["most"]
+        self.passes = max(1, -(-size["n"] * row_bytes // BROADCAST_BYTES))
 
-def query_blocks(queries: DataFrame, columns: list[str], order: str, block_rows: int | None = None) -> DataFrame:
-    """The query set as rows of (block, queries).  Most sets are one block, which is there even if it is empty."""
-    block_rows = block_rows or BLOCK_ROWS
-    if few(queries):
-        return queries.agg(F.lit(0).alias("__block"), F.collect_list(F.struct(*columns)).alias("__queries"))
-    numbered = queries.withColumn("__block", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / block_rows))
-    return numbered.groupBy("__block").agg(F.collect_list(F.struct(*columns)).alias("__queries"))
+    def part(self, k: int) -> DataFrame:
+        """The queries of a pass as one row with the array __queries, which is there even if it is empty."""
+        return self.rows.where(F.pmod(F.xxhash64("__nth"), F.lit(self.passes)) == k).agg(F.collect_list(F.struct(*self.columns)).alias("__queries"))
 
 
 def pair_distance(num: dict[str, float], dim: dict[str, float], numeric: D.Distance | None, dimensional: D.Distance | None):
@@ -67,52 +93,84 @@ def pair_distance(num: dict[str, float], dim: dict[str, float], numeric: D.Dista
 def best_distance(dataset: DataFrame, queries: DataFrame, id_col: str, num: dict[str, float] | None = None, dim: dict[str, float] | None = None, numeric: D.Distance | None = D.euclidean, dimensional: D.Distance | None = D.cosine_dim, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each dataset row with its distance to the nearest query; infinity where no distance is defined.
 
-    Each block of queries goes to every task as one row, so the dataset is never shuffled for it.  Up to BLOCK_ROWS
-    queries are one block and nothing is aggregated; with more, the minimum over blocks is combined before its
-    shuffle, and ``id_col`` must be unique.
+    The queries go to every task as one row, so the dataset is never shuffled and repeated ids keep a row each.  A
+    query set beyond BROADCAST_BYTES is met in passes, between which the minima so far are written.
     """
     num, dim = num or {}, dim or {}
-    dataset, queries = prepare(dataset, dim), prepare(queries, dim)
+    kept = [id_col, *(k for k in keep if k != id_col)]
     columns = [*num, *dim, *(f"{f}__norm" for f in dim)]
-    blocks = query_blocks(queries.withColumn("__order", F.col(id_col)), columns or [id_col], "__order")
-    scored = dataset.crossJoin(F.broadcast(blocks)).withColumn("__best", F.array_min(F.transform("__queries", pair_distance(num, dim, numeric, dimensional))))
-    if few(queries):
-        best = scored
-    else:
-        best = scored.groupBy(id_col, *(k for k in keep if k != id_col)).agg(F.min("__best").alias("__best"))
-    return best.select(id_col, *(k for k in keep if k != id_col), F.coalesce("__best", F.lit(float("inf"))).alias("distance"))
+    found = Queries(prepare(queries, dim), columns or [id_col])
+    rows = prepare(dataset, dim).select(*kept, *(c for c in columns if c not in kept), F.lit(float("inf")).alias("__best"))
+    distance = pair_distance(num, dim, numeric, dimensional)
+    for k in range(found.passes):
+        if k:
+            path = scratch(dataset.sparkSession, "minima")
+            rows.write.parquet(path)
+            rows = dataset.sparkSession.read.parquet(path)
+        met = rows.crossJoin(F.broadcast(found.part(k)))  # one row of BROADCAST_BYTES at most
+        rows = met.withColumn("__best", F.coalesce(F.least("__best", F.array_min(F.transform("__queries", distance))), "__best")).drop("__queries")
+    return rows.select(*kept, F.col("__best").alias("distance"))
 
 
 def cross_score(dataset: DataFrame, queries: DataFrame, id_col: str, num: dict[str, float] | None = None, dim: dict[str, float] | None = None, numeric: D.Distance | None = D.euclidean, dimensional: D.Distance | None = D.cosine_dim) -> DataFrame:
-    """(id, query_id, distance) for every dataset row and query; null where undefined."""
+    """(id, query_id, distance) for every dataset row and query; null where undefined.
+
+    The result has a row for each pair by its nature.  Small query sets are broadcast, others meet the dataset as Spark chooses.
+    """
     num, dim = num or {}, dim or {}
-    dataset, queries = prepare(dataset, dim), prepare(queries, dim)
     columns = [*num, *dim, *(f"{f}__norm" for f in dim)]
-    blocks = query_blocks(queries.withColumn("__query", F.col(id_col)), ["__query", *columns], "__query")
-    pairs = dataset.crossJoin(F.broadcast(blocks)).withColumn("__q", F.explode("__queries"))
+    found = Queries(prepare(queries, dim).withColumn("__query", F.col(id_col)), ["__query", *columns])
+    dataset = prepare(dataset, dim)
+    if found.passes == 1:
+        pairs = dataset.crossJoin(F.broadcast(found.part(0))).withColumn("__q", F.explode("__queries"))
+    else:
+        pairs = dataset.crossJoin(found.rows.select(F.struct(*found.columns).alias("__q")))
     return pairs.select(id_col, F.col("__q.__query").alias("query_id"), pair_distance(num, dim, numeric, dimensional)(F.col("__q")).alias("distance"))
 
 
+def rounded(scored: DataFrame, digits: int | None) -> DataFrame:
+    return scored if digits is None else scored.withColumn("distance", F.round("distance", digits))
+
+
 def topn(scored: DataFrame, n: int, distance: str = "distance", tie: str | None = None) -> DataFrame:
     """The n nearest, equals by ``tie``: a partial top-n in each task, never a full sort."""
     return scored.orderBy(*(F.col(c) for c in (distance, tie) if c)).limit(n)
 
 
-def knn_topk(dataset: DataFrame, queries: DataFrame, id_col: str, n: int = 20, normalize: str | None = None, **options) -> DataFrame:
-    """The n dataset rows nearest to any query.  ``normalize='zscore'`` scales numeric features by the dataset."""
-    if normalize == "zscore" and options.get("num"):
-        dataset, queries = zscore(dataset, list(options["num"]), queries)
-    elif normalize is not None:
-        raise ValueError(f"unknown normalization {normalize!r}")
-    return topn(best_distance(dataset, queries, id_col, **options), n, tie=id_col)
+Normalize = str | Callable[..., list[DataFrame]] | None
+
+
+def knn_topk(dataset: DataFrame, queries: DataFrame, id_col: str, n: int = 20, normalize: Normalize = None, normalize_dimensional: Normalize = None, expand: bool = False, pool_order: list[str] | None = None, digits: int | None = None, num: dict[str, float] | None = None, dim: dict[str, float] | None = None, **options) -> DataFrame:
+    """The n dataset rows nearest to any query.
+
+    ``expand`` turns vectors into numbers of weight 1.  ``normalize`` and ``normalize_dimensional`` scale numbers and
+    vectors of both sides by the dataset: 'zscore', or a function (dataset, features or widths, queries) -> both.
+    ``pool_order`` pools the rows of each id on both sides, metadata by that order.  ``digits`` rounds distances before
+    they are ranked, so that equals rank by id whatever the last bits are.
+    """
+    check_config(expand, normalize_dimensional is not None)
+    num, dim = dict(num or {}), dict(dim or {})
+    widths = vector_widths(dataset, list(dim)) if dim and (expand or normalize_dimensional is not None or pool_order is not None) else {}
+    if expand:
+        dataset, queries = (df.select("*", *(c for v, w in widths.items() for c in V.expand(v, w))).drop(*dim) for df in (dataset, queries))
+        num |= {f"{v}_{i}": 1.0 for v, w in widths.items() for i in range(w)}
+        dim, widths = {}, {}
+    for how, plain, columns in ((normalize, zscore, list(num)), (normalize_dimensional, zscore_vectors, widths)):
+        if how is not None and not callable(how) and how != "zscore":
+            raise ValueError(f"unknown normalization {how!r}")
+        if how is not None and columns:
+            dataset, queries = (how if callable(how) else plain)(dataset, columns, queries)
+    if pool_order is not None:
+        dataset, queries = (P.pool_dataframe(df, list(num), widths, pool_order, id_col) for df in (dataset, queries))
+    return topn(rounded(best_distance(dataset, queries, id_col, num, dim, **options), digits), n, tie=id_col)
 
 
 def as_recommendations(scored: DataFrame) -> DataFrame:
     return scored.select(F.col("artist").alias("track_artist"), F.col("album").alias("track_album"), F.col("title").alias("track_title"), F.col("uri").alias("spotify_uri"), F.col("distance").alias("track_distance"))
 
 
-def recommend(tracks: DataFrame, upload: DataFrame, n: int = 10, num: dict[str, float] | None = None, dim: dict[str, float] | None = None) -> DataFrame:
-    """The service's answer: the n tracks nearest to the uploaded rows, artist to distance."""
+def recommend(tracks: DataFrame, upload: DataFrame, n: int = 10, num: dict[str, float] | None = None, dim: dict[str, float] | None = None, digits: int | None = None) -> DataFrame:
+    """The service's answer: the n tracks nearest to the uploaded rows, artist to distance; ``digits`` as of ``knn_topk``."""
     meta = ("artist", "album", "title", "uri")
     scored = best_distance(tracks, upload, "filename", D.DEFAULT_NUM if num is None else num, D.DEFAULT_DIM if dim is None else dim, keep=meta)
-    return as_recommendations(topn(scored, n, tie="filename"))
+    return as_recommendations(topn(rounded(scored, digits), n, tie="filename"))

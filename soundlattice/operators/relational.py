@@ -22,9 +22,9 @@ def union_keys(*parts: DataFrame) -> DataFrame:
 
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key by ``order``; null keys are one key."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    """The first row of each key by ``order``, nulls first; null keys are one key.  Rows combine before the shuffle."""
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__row"))
+    return first.select("__row.*")
 
 
 def exclude(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

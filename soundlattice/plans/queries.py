@@ -42,7 +42,7 @@ def r6(c, name: str):
 
 NUM = {"p_size": 2.0, "p_retailprice": 0.5}
 DIM = {"embedding": 5.0}
-TRACKS = "t AS (SELECT p_partkey AS id, p_size::DOUBLE AS s, p_retailprice AS p, embedding::DOUBLE[] AS e FROM part JOIN embeddings ON vec_id = p_partkey), q AS (SELECT * FROM t WHERE id <= 3)"
+TRACKS = "t AS (SELECT p_partkey AS id, p_size::DOUBLE AS s, p_retailprice AS p, embedding::DOUBLE[] AS e FROM part JOIN embeddings ON vec_id = p_partkey), q AS (SELECT * FROM t WHERE id % 20 = 0)"
 COS_E = "list_cosine_similarity(q.e, c.e)"
 
 
@@ -54,7 +54,7 @@ def pairs_query(name: str, value: str, num=None, dim=None, numeric=None, dimensi
     @query(name, f"WITH {TRACKS} SELECT c.id, q.id AS query_id, round({value}, 6) AS distance FROM t c, q")
     def run(spark, sf):
         t = tracks(spark, sf)
-        scored = knn.cross_score(t, t.where("id <= 3"), "id", num, dim, numeric, dimensional)
+        scored = knn.cross_score(t, t.where("id % 20 = 0"), "id", num, dim, numeric, dimensional)
         return scored.select("id", "query_id", r6(F.col("distance"), "distance"))
 
 
@@ -70,7 +70,7 @@ pairs_query("dist_cosine_dim", f"5 * (1 - greatest(-1, least(1, {COS_E})))", dim
 pairs_query("dist_total", f"{EUCLID} + 5 * (1 - greatest(-1, least(1, {COS_E})))", num=NUM, dim=DIM, numeric=D.euclidean, dimensional=D.cosine_dim)
 
 NEAREST = """
-WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 5),
+WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0),
 p AS (SELECT c.vec_id, list_cosine_similarity(q.e, c.embedding::DOUBLE[]) AS s FROM embeddings c, q),
 d AS (SELECT vec_id, min(CASE WHEN s IS NULL OR isnan(s) THEN NULL ELSE 5 * (1 - greatest(-1, least(1, s))) END) AS d FROM p GROUP BY 1)
 SELECT vec_id, round(coalesce(d, 'infinity'::DOUBLE), 6) AS distance FROM d"""
@@ -78,19 +78,19 @@ SELECT vec_id, round(coalesce(d, 'infinity'::DOUBLE), 6) AS distance FROM d"""
 
 def best(spark, sf) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return knn.best_distance(e, e.where("vec_id < 5"), "vec_id", dim=DIM).select("vec_id", r6(F.col("distance"), "distance"))
+    return knn.best_distance(e, e.where("vec_id % 20 = 0"), "vec_id", dim=DIM).select("vec_id", r6(F.col("distance"), "distance"))
 
 
-@query("knn_topk", NEAREST + " ORDER BY d NULLS LAST, vec_id LIMIT 10")
+@query("knn_topk", NEAREST + " ORDER BY round(d, 6) NULLS LAST, vec_id LIMIT 10")
 def knn_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    return knn.knn_topk(e, e.where("vec_id < 5"), "vec_id", 10, dim=DIM).select("vec_id", r6(F.col("distance"), "distance"))
+    return knn.knn_topk(e, e.where("vec_id % 20 = 0"), "vec_id", 10, dim=DIM, digits=6)
 
 
-@query("join_cross_score", "SELECT c.vec_id, q.vec_id AS query_id, round(5 * (1 - greatest(-1, least(1, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])))), 6) AS distance FROM embeddings c, embeddings q WHERE q.vec_id < 5")
+@query("join_cross_score", "SELECT c.vec_id, q.vec_id AS query_id, round(5 * (1 - greatest(-1, least(1, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])))), 6) AS distance FROM embeddings c, embeddings q WHERE q.vec_id % 20 = 0")
 def join_cross_score(spark, sf):
     e = table(spark, sf, "embeddings")
-    return knn.cross_score(e, e.where("vec_id < 5"), "vec_id", dim=DIM).select("vec_id", "query_id", r6(F.col("distance"), "distance"))
+    return knn.cross_score(e, e.where("vec_id % 20 = 0"), "vec_id", dim=DIM).select("vec_id", "query_id", r6(F.col("distance"), "distance"))
 
 
 QUERIES["join_min_over_queries"], SQL["join_min_over_queries"] = best, NEAREST
@@ -107,10 +107,10 @@ def limit_topn(spark, sf):
 
 
 @query("recommend", f"""WITH {TRACKS}, d AS (SELECT c.id, min({EUCLID} + 5 * (1 - greatest(-1, least(1, {COS_E})))) AS d FROM t c, q GROUP BY 1)
-SELECT p_brand AS track_artist, p_type AS track_album, p_name AS track_title, 'uri:' || id AS spotify_uri, round(d, 6) AS track_distance FROM d JOIN part ON p_partkey = id ORDER BY d, id LIMIT 10""")
+SELECT p_brand AS track_artist, p_type AS track_album, p_name AS track_title, 'uri:' || id AS spotify_uri, round(d, 6) AS track_distance FROM d JOIN part ON p_partkey = id ORDER BY round(d, 6), id LIMIT 10""")
 def recommend(spark, sf):
     t = tracks(spark, sf).select(F.col("id").alias("filename"), F.col("p_brand").alias("artist"), F.col("p_type").alias("album"), F.col("p_name").alias("title"), F.concat(F.lit("uri:"), "id").alias("uri"), "p_size", "p_retailprice", "embedding")
-    return knn.recommend(t, t.where("filename <= 3"), 10, NUM, DIM).withColumn("track_distance", F.round("track_distance", 6))
+    return knn.recommend(t, t.where("filename % 20 = 0"), 10, NUM, DIM, digits=6)
 
 
 @query("proj_result", "SELECT p_brand AS track_artist, p_type AS track_album, p_name AS track_title, 'uri:' || p_partkey AS spotify_uri, p_retailprice AS track_distance FROM part")

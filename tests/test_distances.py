@@ -52,12 +52,31 @@ def test_numeric_distances(spark):
     assert best(spark, rows, query, numeric=None, dimensional=None) == {1: 0.0}
 
 
-def test_many_query_blocks_equal_one(spark, monkeypatch):
+def test_many_passes_equal_one(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=4).tolist(), float(i), 0.0) for i in range(40)]
     whole = best(spark, rows, rows[:9], dim={"v": 1.0}, num={"x": 0.1})
-    monkeypatch.setattr(knn, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", 300)
     assert best(spark, rows, rows[:9], dim={"v": 1.0}, num={"x": 0.1}) == pytest.approx(whole)
+    pairs = knn.cross_score(table(spark, rows), table(spark, rows[:9]), "id", dim={"v": 1.0}, num={"x": 0.1})
+    assert pairs.count() == 360 and {r["id"]: r["d"] for r in pairs.groupBy("id").min("distance").withColumnRenamed("min(distance)", "d").collect()} == pytest.approx(whole)
+    again = knn.best_distance(table(spark, [*rows, rows[0]]), table(spark, rows[:9]), "id", dim={"v": 1.0})
+    assert again.count() == 41  # repeated ids keep a row each
+
+
+def test_options_of_the_pipeline(spark):
+    rows = [(1, [0.0, 4.0], 1.0, 0.0), (2, [2.0, 0.0], 3.0, 0.0), (2, [4.0, 0.0], 5.0, 0.0), (3, [9.0, 9.0], 9.0, 0.0)]
+    query = [(8, [2.0, 0.0], 3.0, 0.0), (8, [4.0, 0.0], 5.0, 0.0)]
+    run = lambda **o: [(r["id"], r["distance"]) for r in knn.knn_topk(table(spark, rows), table(spark, query), "id", 10, **o).collect()]
+    assert run(num={"x": 1.0}, pool_order=["x"])[0] == (2, 0.0) and len(run(num={"x": 1.0}, pool_order=["x"])) == 3
+    assert run(dim={"v": 1.0}, expand=True, dimensional=None)[0][1] == 0.0 and run(dim={"v": 1.0}, expand=True, dimensional=None)[-1] == (3, pytest.approx(106**0.5))
+    assert run(dim={"v": 1.0}, normalize_dimensional="zscore", dimensional=D.euclidean_dim)[0][1] == pytest.approx(0)
+    halved = lambda data, columns, other: [df.withColumns({c: F.col(c) / 2 for c in columns}) for df in (data, other)]
+    assert run(num={"x": 1.0}, normalize=halved)[-1] == (3, 2.0)
+    with pytest.raises(ValueError):
+        run(dim={"v": 1.0}, expand=True, normalize_dimensional="zscore")
+    with pytest.raises(ValueError):
+        run(num={"x": 1.0}, normalize="unknown")
 
 
 def test_length_mismatch_fails(spark):
