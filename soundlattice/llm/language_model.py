@@ -544,7 +544,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     flat = Network(priors=words.priors).flat
     state = np.concatenate([flat, np.full_like(flat, 1e-6)])
     for part, lanes in ((first, FIRST_LANES), (~first, LANES)):
-        state = train_shards(dealt.where(part).repartition(shards, "shard"), state, lanes)
+        state = train_shards(dealt.where(part).repartitionById(shards, "shard"), state, lanes)
     ready = spark.sparkContext.broadcast(np.split(state, 2)[0])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
