@@ -1,8 +1,8 @@
 """Token counts through a digest cache.
 
 A text is known by the SHA-256 of its UTF-8 bytes, a tokenizer by the SHA-256 of its model file.  The
-cache is a Parquet table of (tokenizer, digest, n_tokens).  Counting joins the corpus to the cache,
-encodes each distinct missing text once, appends the new counts, and reads every count from the cache.
+cache is a Parquet table of (tokenizer, digest, n_tokens).  Counting joins the corpus's distinct digests to the
+cache, encodes each distinct missing text once, appends the new counts, and reads every count from the cache.
 """
 
 from __future__ import annotations
@@ -72,10 +72,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     text = text_or_empty(text_col)
     digest = F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")
     keyed = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), digest)
-    missing = docs.select(digest, text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
+    texts = docs.select(digest, text.alias("text"))
     stored = read_cache(spark, cache_path, version)
-    if stored is not None:
-        missing = missing.join(stored, "digest", "left_anti")
+    if stored is not None:  # texts meet the missing digests, which are few where the cache is warm
+        fresh = materialize(texts.select("digest").distinct().join(stored, "digest", "left_anti"), "token-misses")
+        texts = texts.join(fresh, "digest", "left_semi")
+    missing = texts.groupBy("digest").agg(F.first("text").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(sent.value, kind)
@@ -86,9 +88,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
             yield pa.RecordBatch.from_arrays([pa.array([version] * batch.num_rows, pa.string()), batch.column(0), pa.array(counts, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
     missing.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path, version)
-    if stored is not None:  # two callers may have appended the same digest
-        counts = materialize(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
+    # Two callers may have appended the same digest.
+    counts = read_cache(spark, cache_path, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keyed.join(counts, "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
