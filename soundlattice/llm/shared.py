@@ -67,6 +67,17 @@ def numbered(df: DataFrame, order: list[Column], number: str, name: str) -> Data
     return out.withColumn(number, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__before")
 
 
+def on_file(df: DataFrame, name: str) -> tuple[DataFrame, Column, Column]:
+    """(df, file, row): a table read from files, written first if need be, and the columns that name a row's place there."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException as error:
+        if not str(error.getCondition()).startswith("UNRESOLVED_COLUMN"):
+            raise
+        df = materialize(df, name)
+    return df, F.col("_metadata.file_path"), F.col("_metadata.row_index")
+
+
 def written_place(docs: DataFrame) -> Column:
     """A row's place in the table as it was written: by part file, then by row.
 

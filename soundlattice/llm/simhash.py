@@ -4,8 +4,9 @@ A fingerprint's 64 bits form 32 segments of two bits; its embedding is the vecto
 a bit moves one count by one, so the Manhattan distance of two embeddings is at most the Hamming distance of the
 fingerprints.  The counts form eight groups of four; if the distance is at most four, at least four groups have
 distance zero.  So fingerprints meet in a grid with one cell for each choice of four groups and their counts,
-70 cells each.  Within a cell they are ordered by their total count, which is a Manhattan distance as well, and
-only those within the threshold along that axis are verified bit by bit.  Each cell yields a spanning forest of
+70 cells each.  Within a cell they are ordered by their total count, which is a Manhattan distance as well; of those
+within the threshold along that axis the Manhattan distance of all 32 counts is taken, and what is within the threshold there
+too is verified bit by bit.  Each cell yields a spanning forest of
 its links, never all pairs.  Texts of one fingerprint are folded before the grid.
 """
 
@@ -16,11 +17,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soundlattice.llm.components import components
-from soundlattice.llm.shared import materialize, text_or_empty, whole_row
+from soundlattice.llm.shared import materialize, on_file, text_or_empty, whole_row
 
 GROUPS = 8
 #: Rows of a cell that one task compares at once; larger cells are split into pairs of blocks.
@@ -51,9 +52,9 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, with_row: bool = False) -> DataFrame:
-    """(id, fp) as signed 64-bit integers, and the input row if asked for."""
-    rows = docs.select(F.col(id_col).alias("id"), *whole_row(docs, with_row), text_or_empty(text_col).cast("binary").alias("text"))
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, *others: Column) -> DataFrame:
+    """(id, others, fp), fp as signed 64-bit integers."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), *others, text_or_empty(text_col).cast("binary").alias("text"))
     names = rows.columns[:-1]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", fp bigint"
 
@@ -65,11 +66,22 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, with_row: bool = F
     return rows.mapInArrow(run, schema)
 
 
+LOW_BITS = np.uint64(0x5555555555555555)
+
+
+def unary(fp: np.ndarray) -> np.ndarray:
+    """Each segment's count in unary, so that the Manhattan distance of two embeddings is the Hamming distance of these."""
+    bits = fp.view(np.uint64)
+    a, b = bits & LOW_BITS, (bits >> np.uint64(1)) & LOW_BITS
+    return (a | b) | ((a & b) << np.uint64(1))
+
+
 def forest(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest of each cell's graph of fingerprints within ``distance`` of each other."""
     total = np.bitwise_count(fp.view(np.uint64)).astype(np.int16)
     order = np.lexsort((total, cell))
     cell, fp, total = cell[order], fp[order], total[order]
+    counts = unary(fp)
     root = np.arange(len(fp))
     left, right = [], []
     at = np.arange(len(fp) - 1) if len(fp) else np.arange(0)
@@ -77,7 +89,8 @@ def forest(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray,
     while len(at):
         at = at[at + gap < len(fp)]
         at = at[(cell[at] == cell[at + gap]) & (total[at + gap] - total[at] <= distance)]
-        near = at[np.bitwise_count((fp[at] ^ fp[at + gap]).view(np.uint64)) <= distance]
+        near = at[np.bitwise_count(counts[at] ^ counts[at + gap]) <= distance]  # the embedding's bound
+        near = near[np.bitwise_count((fp[near] ^ fp[near + gap]).view(np.uint64)) <= distance]
         near = near[root[near] != root[near + gap]]
         if len(near):
             parent: dict[int, int] = {}
@@ -196,17 +209,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``with_row`` adds the input row as the struct ``row``.  component_id is the smallest id reachable over links of at most ``distance`` differing bits; null ids are
     never smallest, and a component with no other id has a null one.  Null and empty texts, and those without
     words, have fingerprint zero and link like any other.  Texts of up to four words are one shingle; longer
-    ones are read whole.  Repeated rows keep a row each.  Empty tables give no rows.
+    ones are read whole.  Repeated rows keep a row each.  Empty tables give no rows.  Other columns are ignored, whatever
+    their names.
     """
-    printed = fingerprints(docs, id_col, text_col)
-    printed = materialize(printed, "simhash-prints")
+    if with_row:
+        docs, file, place = on_file(docs, "simhash-rows")
+        where = [file.alias("__file"), place.alias("__place")]
+    printed = materialize(fingerprints(docs, id_col, text_col, *(where if with_row else ())), "simhash-prints")
     distinct = materialize(printed.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     roots = components(links(distinct.select("fp"), distance, cell_rows))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-roots")
     smallest = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-smallest")
     known = materialize(rooted.join(smallest, "root").select("fp", "component_id", "root"), "simhash-components")
-    rows = fingerprints(docs, id_col, text_col, True) if with_row else printed
+    rows = printed
+    if with_row:  # texts are printed once; rows come back by their place
+        rows = printed.join(docs.select(*where, *whole_row(docs)), ["__file", "__place"])
     name = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return rows.join(known, "fp").select(F.col("id").alias(id_col), name("fp").alias("fingerprint"), "component_id", name("root").alias("component"), *(["row"] if with_row else []))
 

@@ -78,6 +78,9 @@ def test_token_counts(spark, odd, empty):
     more = odd.unionByName(spark.createDataFrame([(1, "fresh text", *[None] * 10)], COLUMNS))
     assert token_counts.count_tokens(more, path, cache).count() == len(want) + 1
     assert spark.read.parquet(cache).count() == stored + 1 and spark.read.parquet(cache).groupBy("digest").count().where("count > 1").isEmpty()
+    spark.read.parquet(cache).write.mode("append").parquet(cache + "-twice")  # as two first callers leave it
+    spark.read.parquet(cache).write.mode("append").parquet(cache + "-twice")
+    assert rows_of(token_counts.count_tokens(odd, path, cache + "-twice"), *columns) == want
     other = public_tokenizers.path("byte_bpe_50k.json")
     assert token_counts.count_tokens(empty, other, cache).count() == 0
     assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(odd, other, cache).collect()}[21] == 1
@@ -368,6 +371,14 @@ def test_near_duplicates_of_nothing(empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@given(st.integers(0, 2**64 - 1), st.integers(0, 2**64 - 1))
+def test_the_embedding_bounds_the_distance(u, v):
+    a, b = simhash.unary(np.array([u, v], np.uint64).view(np.int64))
+    count = lambda x: [(x >> i & 3).bit_count() for i in range(0, 64, 2)]
+    manhattan = sum(abs(x - y) for x, y in zip(count(u), count(v), strict=True))
+    assert int(np.bitwise_count(a ^ b)) == manhattan <= (u ^ v).bit_count()
+
+
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=12), st.lists(st.tuples(st.integers(0, 11), st.integers(0, 63)), max_size=20))
 def test_forest_has_the_graph_s_components(values, flips):
     prints = set(values)
