@@ -623,10 +623,58 @@ feature_query("dsp_flux", "flux", per_frame("sqrt(sum(d * d))", "flux", False, "
 _BAND_SQL = ", ".join(f"round(avg({b}), 6) AS {b}_mean, round(stddev_pop({b}), 6) AS {b}_std" for b in features.S.BANDS)
 _SHARE_SQL = ", ".join(f"coalesce(sum(m * m) FILTER (WHERE k * 2756.25 >= {lo} AND k * 2756.25 < {hi}), 0) / sum(m * m) AS {b}" for b, (lo, hi) in features.S.BANDS.items())
 feature_query("dsp_energy_ratio", "energy_ratio", f"{SPECTRUM}, v AS (SELECT vec_id, f, {_SHARE_SQL} FROM m GROUP BY 1, 2) SELECT vec_id, {_BAND_SQL} FROM v GROUP BY 1")
-for _name in ("bpm", "loudness", "mfcc", "contrast", "peaks", "gfcc", "tonal"):
+for _name in ("bpm", "loudness", "tonal"):
     feature_query(f"dsp_{_name}", _name)
 
 
+def magnitudes(size: int, frames: int, window: str) -> str:
+    """The CTE m (vec_id, f, k, fr, m): spectra of frames of ``size`` every 16 samples, fr in Hz."""
+    return f"""x AS (SELECT vec_id, f, n, embedding[f * 16 + n + 1]::DOUBLE * ({window}) AS x FROM embeddings, range(0, {frames}) a(f), range(0, {size}) b(n)),
+m AS (SELECT vec_id, f, k, k * 44100.0::DOUBLE / {size} AS fr, sqrt(sum(x * cos(2 * pi() * k * n / {size})) ** 2 + sum(x * sin(2 * pi() * k * n / {size})) ** 2) AS m FROM x, range(0, {size // 2 + 1}) c(k) GROUP BY 1, 2, 3)"""
+
+
+def hann_sql(size: int) -> str:
+    return f"0.5 - 0.5 * cos(2 * pi() * n / {size - 1})"
+
+
+_BH = "0.35875 - 0.48829 * cos(2 * pi() * n / 15) + 0.14128 * cos(4 * pi() * n / 15) - 0.01168 * cos(6 * pi() * n / 15)"
+feature_query("dsp_peaks", "peaks", f"""WITH {magnitudes(16, 4, _BH)}, p AS (SELECT *, k BETWEEN 1 AND 7 AND m > 1e-9 AND m > lag(m) OVER w AND m >= lead(m) OVER w AS peak FROM m WINDOW w AS (PARTITION BY vec_id, f ORDER BY k))
+SELECT vec_id, round(avg(fr) FILTER (WHERE peak), 6) AS spectral_peaks_avg_freq, round(avg(m) FILTER (WHERE peak), 6) AS spectral_peaks_avg_mag, round(count(*) FILTER (WHERE peak) / 4.0::DOUBLE, 6) AS spectral_peaks_count FROM p GROUP BY 1""")
+
+
+def long_query(name: str, feature: str, sql: str) -> None:
+    """A query of a feature with lists as rows (vec_id, name, i, value)."""
+
+    @query(name, sql)
+    def run(spark, sf):
+        out = features.extract(table(spark, sf, "embeddings"), "vec_id", "embedding", (feature,), frame=16)
+        lists = [F.struct(F.lit(c).alias("name"), F.col(c).alias("values")) for c in out.columns if c != "vec_id"]
+        each = out.select("vec_id", F.explode(F.array(*lists)).alias("z")).select("vec_id", "z.name", F.posexplode("z.values").alias("i", "value"))
+        return each.select("vec_id", "name", "i", r6(F.col("value"), "value"))
+
+
+def bands_sql(edge: str) -> str:
+    """The CTEs b (vec_id, f, i, v), 40 triangular bands between the edges given by i, and c, 13 cepstral coefficients."""
+    return f"""e AS (SELECT i, {edge} AS hz FROM range(0, 42) r(i)),
+t AS (SELECT a.i, a.hz AS lo, b.hz AS mid, c.hz AS hi FROM e a JOIN e b ON b.i = a.i + 1 JOIN e c ON c.i = a.i + 2),
+b AS (SELECT vec_id, f, i, sum(m * m * greatest(0, least((fr - lo) / (mid - lo), (hi - fr) / (hi - mid)))) AS v FROM m, t GROUP BY 1, 2, 3),
+c AS (SELECT vec_id, f, j AS i, sum(ln(greatest(v, 1e-10)) * cos(pi() * j * (b.i + 0.5) / 40)) AS v FROM b, range(0, 13) r(j) GROUP BY 1, 2, 3)"""
+
+
+def list_stats(*parts: tuple[str, str, str]) -> str:
+    """Rows (vec_id, name, i, value) from (CTE, name, aggregate)."""
+    return " UNION ALL ".join(f"SELECT vec_id, '{name}' AS name, i::INTEGER AS i, round({how}(v), 6) AS value FROM {cte} GROUP BY 1, 2, 3" for cte, name, how in parts)
+
+
+_MEL = "700 * (pow(10, i * 2595 * log10(1 + 22050.0::DOUBLE / 700) / 41 / 2595) - 1)"
+_ERB = "(pow(10, i * 21.4 * log10(1 + 0.00437 * 22050.0::DOUBLE) / 41 / 21.4) - 1) / 0.00437"
+long_query("dsp_mfcc", "mfcc", f"WITH {magnitudes(32, 3, hann_sql(32))}, {bands_sql(_MEL)} " + list_stats(("c", "mfcc_mean", "avg"), ("c", "mfcc_std", "stddev_pop"), ("b", "band_mean", "avg"), ("b", "band_std", "stddev_pop")))
+long_query("dsp_gfcc", "gfcc", f"WITH {magnitudes(16, 3, hann_sql(16))}, {bands_sql(_ERB)} " + list_stats(("b", "erb_bands_mean", "avg"), ("b", "erb_bands_std", "stddev_pop"), ("c", "gfcc_mean", "avg"), ("c", "gfcc_peak", "max")))
+long_query("dsp_contrast", "contrast", f"""WITH {magnitudes(16, 3, hann_sql(16))}, g AS (SELECT vec_id, f, i, 10 * log10(greatest(max(m), 1e-10)) AS top, 10 * log10(greatest(min(m), 1e-10)) AS low
+FROM m JOIN (VALUES (0, 1, 2), (1, 2, 3), (2, 3, 4), (3, 4, 6), (4, 6, 9)) o(i, a, b) ON k >= a AND k < b GROUP BY 1, 2, 3), b AS (SELECT vec_id, f, i, top - low AS v FROM g), c AS (SELECT vec_id, f, i, low AS v FROM g) """
++ list_stats(("b", "spectral_contrast_mean", "avg"), ("b", "spectral_contrast_std", "stddev_pop"), ("c", "spectral_valley_mean", "avg"), ("c", "spectral_valley_std", "stddev_pop")))
+
+
 @query("dsp_window_spectrum", f"{SPECTRUM} SELECT vec_id, f, k, round(m, 6) AS m FROM m")
 def dsp_window_spectrum(spark, sf):
     own = {"spectrum": (lambda x, rate, frame: {"magnitudes": features._spectra(x, frame).ravel().tolist()}, "magnitudes array<double>")}
@@ -673,17 +721,28 @@ def registry(spark) -> DataFrame:
     return spark.createDataFrame([(m.name, list(m.classes), m.target, m.family, m.feature) for m in models.REGISTRY.values()], "name string, classes array<string>, target int, family string, feature string")
 
 
-@query("ml_registry")
+# The heads once more, as the SQL states them: name, classes, target, family.
+HEADS = """VALUES ('approachability_2c', 'not_approachable,approachable', 1, 'effnet'), ('approachability_3c', 'not_approachable,moderately_approachable,approachable', 0, 'effnet'),
+('approachability_regression', 'approachability', 0, 'effnet'), ('engagement_2c', 'not_engaging,engaging', 1, 'effnet'), ('engagement_3c', 'not_engaging,moderately_engaging,engaging', 0, 'effnet'),
+('engagement_regression', 'engagement', 0, 'effnet'), ('danceability', 'danceable,not_danceable', 0, 'effnet'), ('aggressive', 'aggressive,non_aggressive', 0, 'effnet'), ('happy', 'happy,non_happy', 0, 'effnet'),
+('party', 'non_party,party', 1, 'effnet'), ('relaxed', 'non_relaxed,relaxed', 1, 'effnet'), ('sad', 'non_sad,sad', 1, 'effnet'), ('acoustic', 'acoustic,non_acoustic', 0, 'effnet'),
+('electronic', 'electronic,non_electronic', 0, 'effnet'), ('instrumental', 'instrumental,voice', 0, 'effnet'), ('gender', 'female,male', 0, 'effnet'), ('tonal', 'tonal,atonal', 0, 'effnet'),
+('timbre', 'bright,dark', 0, 'effnet'), ('nsynth_timbre', 'bright,dark', 0, 'nsynth_effnet'), ('musicnn_danceability', 'danceable,not_danceable', 0, 'MusiCNN'), ('musicnn_instrumental', 'instrumental,voice', 0, 'MusiCNN'),
+('musicnn_happy', 'happy,non_happy', 0, 'MusiCNN'), ('musicnn_aggressive', 'aggressive,not_aggressive', 0, 'MusiCNN')"""
+STAGES = ("bpm", "energy", "loudness", "mfcc", "centroid", "rolloff", "contrast", "hfc", "flux", "flatness", "energy_ratio", "peaks", "gfcc", "tonal")
+
+
+@query("ml_registry", f"SELECT * FROM ({HEADS}) h(name, classes, target, family)")
 def ml_registry(spark, sf):
     return registry(spark).select("name", F.array_join("classes", ",").alias("classes"), "target", "family")
 
 
-@query("ml_feature_name")
+@query("ml_feature_name", f"SELECT name, split_part(classes, ',', target + 1) || '_' || family AS feature FROM ({HEADS}) h(name, classes, target, family)")
 def ml_feature_name(spark, sf):
     return registry(spark).select("name", "feature")
 
 
-@query("ml_task_dispatch")
+@query("ml_task_dispatch", f"SELECT name AS task, 'model' AS kind FROM ({HEADS}) h(name, classes, target, family) UNION ALL SELECT unnest({list(STAGES)!r}), 'algorithm'")
 def ml_task_dispatch(spark, sf):
     """Each registered head and feature function with the kind of stage that runs it."""
     tasks = [(n, models.stage_kind(n)) for n in models.REGISTRY] + [(n, models.stage_kind(f)) for n, (f, _) in features.FEATURES.items()]
@@ -726,7 +785,7 @@ def stream_pool_windows(spark, sf):
 
     run = pools.pool_windows(source).writeStream.outputMode("update").option("checkpointLocation", scratch(spark, "state")).foreachBatch(keep).trigger(availableNow=True).start()
     run.awaitTermination()
-    last = relational.distinct_on(spark.read.parquet(path), ["event_type", "start"], [F.desc("number")])
+    last = relational.distinct_on(spark.read.parquet(path), ["event_type", "start"], [-F.col("number")])
     return last.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", r6(F.col("mean"), "mean"))
 
 
