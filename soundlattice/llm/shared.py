@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,8 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+_WRITTEN: list[set[str]] = []
+
+
+@contextmanager
+def written() -> Iterator[set[str]]:
+    """Collects the folders that are handed out within: what is not needed any more can be dropped."""
+    made: set[str] = set()
+    _WRITTEN.append(made)
+    try:
+        yield made
+    finally:
+        _WRITTEN.pop()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _WRITTEN:
+        made.add(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -41,13 +60,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete the files of tables that ``materialize`` wrote and that nothing reads any more."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def folders(df: DataFrame) -> set[str]:
+    """The names, without the way to them, of the folders that a table is read from."""
+    return {f.split("/")[-2] for f in df.inputFiles()}
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete written folders that nothing reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(df: DataFrame, order: list[Column], number: str, name: str) -> DataFrame:

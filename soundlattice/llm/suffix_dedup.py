@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soundlattice.llm.shared import drop, materialize, text_or_empty
+from soundlattice.llm.shared import drop, folders, materialize, shared_dir, text_or_empty
 
 SPAN, GRAM = 200, 48
 LEFT = SPAN - GRAM  # the anchor's column
@@ -335,7 +335,6 @@ def order_large_buckets(contexts: DataFrame, bucket_rows: int) -> DataFrame:
     Each level halves a bucket's columns, so eight levels leave one column, where a bucket's contexts are equal.
     A context goes to a next level only where its bucket is still full, which is at the edges of what is repeated.
     """
-    spark = contexts.sparkSession
     found = []
     width = COLUMNS
     while True:
@@ -387,6 +386,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Empty tables give no rows.  Copies are folded by their bytes and go by their SHA-256.  Long texts are hashed in
     pieces and cut as a whole.  Other columns are ignored, whatever their names.
     """
+    spark = docs.sparkSession
     text = text_or_empty(text_col).cast("binary")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.sha2(text, 256).alias("sha"), F.octet_length(text).cast("long").alias("n"), text.alias("text"))
     texts = rows.groupBy("sha", "text").agg(F.count("*").alias("copies"))
@@ -407,10 +407,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = order_buckets(contexts(""))
     if not several.where("large").isEmpty():
         spans = spans.unionByName(order_large_buckets(contexts("large"), bucket_rows))
+    spans = materialize(spans, "suffix-spans")
+    drop(spark, *(f"{shared_dir(spark)}/{name}" for name in folders(found) | folders(known)))
     listed = spans.groupBy("tid").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     cut = texts.where("copies = 1").join(listed, "tid").select("sha", "text", "spans")
     cut = materialize(cut.mapInArrow(_clean, "sha string, n_removed bigint, n_spans bigint, kept_sha256 string"), "suffix-cut")
-    drop(known, found)
     gone = texts.where("copies > 1").where(F.octet_length("text") >= SPAN).select("sha", F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"))
     changed = cut.unionByName(gone)
     out = rows.select("id", "sha", "n").join(changed, "sha", "left")
