@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from soundlattice.llm import mixing, packing, queries, toxicity
-from soundlattice.llm.shared import materialize
+from soundlattice.llm.shared import materialize, written
 
 from .test_operators import plain_components, plain_fingerprint
 
@@ -25,7 +26,7 @@ def rows(df):
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = docs.where("doc_id < 6").withColumn("doc_id", F.col("doc_id") + 5000)
-    odd = spark.createDataFrame([(7000, None, None, None, None), (7001, "", "en", "src1", 0), (7001, "", "en", "src1", 0)], docs.schema)
+    odd = spark.createDataFrame([(7000, None, None, None, None), (7001, "", "en", "src1", 0), (7001, "", "en", "src1", 0), (7002, "long words " * 30_000, "en", "src1", 0)], docs.schema)
     docs = docs.unionByName(extra).unionByName(odd)
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     before = docs
@@ -74,6 +75,29 @@ def test_empty_table_passes_all_stages(spark):
     assert docs.count() == 0
 
 
+def test_odd_rows_pass_all_stages(spark):
+    """Null ids, extra columns with names that operators use, ties and repeated rows."""
+    prose = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, prose, "en", "a", 1, 5, "x"), (None, prose, "en", "a", 1, 5, "x"), (None, None, None, None, None, None, None), (3, "other " * 60, "de", None, 2, 6, "y"), (3, "other " * 60, "de", None, 2, 6, "y"), (4, prose + " end", "en", "a", 1, 7, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row int, bucket string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = materialize(stage(spark, docs, SF), name)
+        if name != "packing":
+            assert out.columns == docs.columns
+        if name == "exact_dedup":
+            assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter({(None, prose): 1, (None, None): 1, (3, "other " * 60): 1, (4, prose + " end"): 1})
+        docs = out
+    assert docs.count() > 0
+
+
+def test_run_leaves_no_intermediate_tables(spark):
+    with written() as made:
+        out = corpus_pipeline.run(spark, SF)
+        rows = out.count()
+    left = [p for p in made if Path(p.removeprefix("file:")).exists()]
+    assert rows > 0 and {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in left} <= {"pipeline-mixing", "pack-pieces", "pack-sequences"}
+
+
 def test_registered():
     names = set(__spark_entry__.queries())
     assert {*queries.QUERIES, "pipeline"} <= names and set(queries.SQL) <= set(__spark_entry__.oracle_sql())
