@@ -21,22 +21,47 @@ def fold_accents(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(c for c in marked if not unicodedata.combining(c)))
 
 
+# The steps from a folded, lower-case name to its key, in order, as patterns and what replaces them.
+NAME_STEPS = [
+    (r"\$", "_"),
+    (r"\(.*?\)", ""),
+    (r"\[.*?\]", ""),
+    (r"(?<=[A-Za-z])\.(?=[A-Za-z])", "_"),
+    (r"\.", " "),
+    (r"&", "and"),
+    (r"[^\w\s–-]", ""),
+    (r"\s+(?=[-–])|(?<=[-–])\s+", ""),
+    (r"^\s+|\s+$", ""),
+    (r"\s+", "-"),
+]
+#: Names of these characters have the same key in Spark SQL as in Python: nothing is to be folded.
+PLAIN = r"\A[\x09-\x0C\x20-\x7E]*\z"
+
+
 def name_key(name: str) -> str:
     """A join key from a title, artist or album: lower case, no accents, words joined by hyphens."""
-    key = fold_accents(name.lower().replace("℮", "e")).replace("$", "_")
-    key = re.sub(r"\[.*?\]", "", re.sub(r"\(.*?\)", "", key))
-    key = re.sub(r"(?<=[A-Za-z])\.(?=[A-Za-z])", "_", key).replace(".", " ").replace("&", "and")
-    key = re.sub(r"\s*([-–])\s*", r"\1", re.sub(r"[^\w\s–-]", "", key))
-    return re.sub(r"\s+", " ", key).strip().replace(" ", "-")
+    key = fold_accents(name.lower().replace("℮", "e"))
+    for pattern, put in NAME_STEPS:
+        key = re.sub(pattern, put, key)
+    return key
 
 
 @F.pandas_udf(StringType())
-def process_name(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """``name_key`` by Arrow batches: Spark SQL has no Unicode normalization.  Nulls stay null."""
+def _name_key(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in names:
         yield batch.map(name_key, na_action="ignore")
 
 
+def process_name(name: Column | str) -> Column:
+    """``name_key`` of a column.  Plain names stay in Spark SQL; the others go to Python, which can fold accents.  Nulls stay null."""
+    name = F.col(name) if isinstance(name, str) else name
+    plain = F.regexp_like(name, F.lit(PLAIN))
+    key = F.lower(name)
+    for pattern, put in NAME_STEPS:
+        key = F.regexp_replace(key, pattern, put)
+    return F.when(plain, key).otherwise(_name_key(F.when(~plain, name)))
+
+
 @F.pandas_udf(StringType())
 def strip_accents(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in names:

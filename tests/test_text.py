@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -34,3 +36,9 @@ def test_fields_years_lists(spark):
 def test_html_text(spark):
     page = '<p><span class="x genre y">Rock,\n Pop</span><span class="other">no</span><span class=\'genre\'>b'
     assert rows(spark, [page + "</span>", None], lambda c: T.html_text(c, "span", "genre")) == [["Rock,\n Pop", "b"], None]
+
+
+def test_plain_names_have_the_same_key_in_both_engines(spark):
+    r = random.Random(2)
+    names = ["".join(r.choice("aB.c&$()[]- –é\t\n\r\x0b\x1c_1!,' x") for _ in range(r.randrange(14))) for _ in range(3000)]
+    assert rows(spark, names, T.process_name) == [T.name_key(n) for n in names]
