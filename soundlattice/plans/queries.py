@@ -138,7 +138,12 @@ def vector_query(name: str, sql: str, build) -> None:
 vector_query("vec_norm", "round(sqrt(list_dot_product(e, e)), 6)", lambda e: F.round(V.norm(e), 6))
 vector_query("vec_dot", "round(list_dot_product(e, list_reverse(e)), 6)", lambda e: F.round(V.dot(e, F.reverse(e)), 6))
 vector_query("vec_clip", "round(greatest(-1, least(1, 10 * e[1])), 6)", lambda e: F.round(V.clip(10 * e[0], -1.0, 1.0), 6))
-vector_query("vec_parse", "round(e[1] + e[64], 6)", lambda e: F.round(V.parse(F.to_json(e))[0] + V.parse(F.to_json(e))[63], 6))
+def placed_sum(a):
+    """The sum of an array's elements, each times its place from 1: any element in a wrong place changes it."""
+    return F.aggregate(F.transform(a, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+
+
+vector_query("vec_parse", "round(list_sum(list_transform(e, lambda x, i: x * i)), 6)", lambda e: F.round(placed_sum(V.parse(F.to_json(e))), 6))
 vector_query("arr_mean", "round(list_avg(e), 6)", lambda e: F.round(V.mean(e), 6))
 vector_query("arr_std", "round(list_stddev_pop(e), 6)", lambda e: F.round(V.std(e), 6))
 vector_query("arr_max", "round(list_max(e), 6)", lambda e: F.round(F.array_max(e), 6))
@@ -255,9 +260,9 @@ def str_strip_accents(spark, sf):
 FIELD_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace({0}, '\([^)\n]*\)', '', 'g'), '(?i)\b(?:feat|ft)\b[^\n]*', '', 'g'), '\s+', ' ', 'g'))"
 
 
-@query("str_process_field", f"SELECT doc_id, {FIELD_SQL.format('text')} AS a, {FIELD_SQL.format('''text[:20] || ' (live) FEAT. x' || chr(10) || 'b' ''')} AS b FROM documents")
+@query("str_process_field", f"SELECT doc_id, {FIELD_SQL.format('text')} AS a, {FIELD_SQL.format('''text || ' (live) FEAT. x' || chr(10) || 'b' ''')} AS b FROM documents")
 def str_process_field(spark, sf):
-    marked = F.concat(F.substring("text", 1, 20), F.lit(" (live) FEAT. x\nb"))
+    marked = F.concat("text", F.lit(" (live) FEAT. x\nb"))
     return table(spark, sf, "documents").select("doc_id", T.process_field(F.col("text")).alias("a"), T.process_field(marked).alias("b"))
 
 
@@ -525,11 +530,11 @@ def sink_csv(spark, sf):
     return readers.track_table(spark, path, "p_partkey bigint, words string")
 
 
-@query("sink_pooled_csv", f"SELECT label, round(avg(x), 6) AS first FROM ({ELEMENTS}) WHERE i = 0 GROUP BY 1")
+@query("sink_pooled_csv", f"SELECT label, i::INTEGER AS i, round(avg(x), 6) AS mean FROM ({ELEMENTS}) GROUP BY 1, 2")
 def sink_pooled_csv(spark, sf):
     path = scratch(spark, "csv")
     writers.write_csv(pooling.vector_mean(table(spark, sf, "embeddings"), "label", "embedding"), path)
-    return readers.track_table(spark, path, "label int, embedding string", ("embedding",)).select("label", r6(F.col("embedding")[0], "first"))
+    return readers.track_table(spark, path, "label int, embedding string", ("embedding",)).select("label", F.posexplode("embedding").alias("i", "mean")).select("label", "i", r6(F.col("mean"), "mean"))
 
 
 @query("sink_append_log", "SELECT r_name AS artist, 'x' AS album FROM region UNION ALL SELECT n_name, 'y' FROM nation")
@@ -563,11 +568,11 @@ def sink_frame(spark, sf):
 def frame_query(name: str, frame: int, hop: int, exclusive: bool) -> None:
     last = 64 - frame - (1 if exclusive else 0)
 
-    @query(name, f"SELECT vec_id, s::INTEGER AS start, {frame} AS n, round(embedding[s + 1]::DOUBLE, 6) AS first FROM embeddings, range(0, {last + 1}, {hop}) r(s)")
+    @query(name, f"SELECT vec_id, s::INTEGER AS start, {frame} AS n, round(list_sum(list_transform(embedding[s + 1:s + {frame}]::DOUBLE[], lambda x, i: x * i)), 6) AS placed FROM embeddings, range(0, {last + 1}, {hop}) r(s)")
     def run(spark, sf):
         e = table(spark, sf, "embeddings")
         both = F.arrays_zip(framing.starts(F.size("embedding"), frame, hop, exclusive).alias("s"), framing.frames(F.col("embedding"), frame, hop, exclusive).alias("f"))
-        return e.select("vec_id", F.explode(both).alias("z")).select("vec_id", F.col("z.s").alias("start"), F.size("z.f").alias("n"), r6(F.col("z.f")[0].cast("double"), "first"))
+        return e.select("vec_id", F.explode(both).alias("z")).select("vec_id", F.col("z.s").alias("start"), F.size("z.f").alias("n"), r6(placed_sum(V.doubles("z.f")), "placed"))
 
 
 frame_query("frame_exclusive", 16, 16, True)
@@ -683,11 +688,12 @@ def dsp_window_spectrum(spark, sf):
     return flat.select("vec_id", F.floor(F.col("i") / BINS).alias("f"), (F.col("i") % BINS).cast("long").alias("k"), r6(F.col("m"), "m"))
 
 
-@query("dsp_resample_mono", "SELECT vec_id, 23::BIGINT AS n, round(embedding[1]::DOUBLE, 4) AS first FROM embeddings")
+@query("dsp_resample_mono", """WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS e, j, floor(j * 2.75625::DOUBLE)::INTEGER AS k, j * 2.75625::DOUBLE - floor(j * 2.75625::DOUBLE) AS part FROM embeddings, range(0, 23) r(j))
+SELECT vec_id, j::INTEGER AS j, round((e[k + 1] + (e[k + 2] - e[k + 1]) * part)::FLOAT::DOUBLE, 6) AS x FROM t""")
 def dsp_resample_mono(spark, sf):
     own = {"resample": (lambda x, rate, frame: {"signal": features.S.resample(features.S.mono(x)).astype(float).tolist()}, "signal array<double>")}
     out = features.extract(table(spark, sf, "embeddings"), "vec_id", "embedding", (), extra=own)
-    return out.select("vec_id", F.size("signal").cast("long").alias("n"), F.round(F.col("signal")[0], 4).alias("first"))
+    return out.select("vec_id", F.posexplode("signal").alias("j", "x")).select("vec_id", "j", r6(F.col("x"), "x"))
 
 
 @query("dsp_pitch", f"{HISTOGRAM}, t AS (SELECT label, 440 * pow(2, embedding[1]::DOUBLE) AS f FROM embeddings), p AS (SELECT label, avg(f) AS m, var_pop(f) AS v FROM t GROUP BY 1) SELECT h.label, i::INTEGER AS i, round(h, 9) AS pitch_hist, round(m, 6) AS pitch_mean, round(v, 6) AS pitch_var FROM h JOIN p ON p.label = h.label")
