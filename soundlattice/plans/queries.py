@@ -181,7 +181,7 @@ ELEMENTS = "SELECT label, i - 1 AS i, embedding[i]::DOUBLE AS x FROM embeddings,
 
 @query("agg_vec_mean", f"SELECT label, i, round(avg(x), 6) AS mean FROM ({ELEMENTS}) GROUP BY 1, 2")
 def agg_vec_mean(spark, sf):
-    out = pooling.vector_mean(table(spark, sf, "embeddings"), "label", "embedding")
+    out = pooling.vector_mean(table(spark, sf, "embeddings"), "label", "embedding", 64)
     return out.select("label", F.posexplode("embedding").alias("i", "m")).select("label", F.col("i").cast("long").alias("i"), r6(F.col("m"), "mean"))
 
 
