@@ -63,7 +63,7 @@ def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     most.  ``time`` is the share of training before the first copy, ``position`` the words of all sources before
     it; both are null where no copy is taken, and such rows come last.  ``positions`` has the position of each copy:
     copy k of a source's document follows k times the source's words.  Null texts and texts without words have
-    size 0, and texts of any length are counted whole; null sources form one source, last in order.  Repeated rows count each.  Empty tables give no rows.
+    size 0, and texts of any length are counted whole; null sources form one source, last in order.  Repeated rows count each.  Empty tables give no rows.  Other columns are ignored, whatever their names.
     """
     key = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
     sized = docs.select(F.col(id_col).alias("__id"), key.alias("source_key"), words(text_col).alias("size"), *whole_row(docs, with_row))

@@ -327,7 +327,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     ``with_row`` adds the input row as the struct ``row``.  Labels are learned from training rows only; scores come
     from the text alone.  Null and empty texts, and those without a matching clause, get the curve's constant.
     Null labels are ignored, contrary ones count as toxic.  Without labels of both kinds the seed lists and a fixed
-    curve serve.  Repeated rows are scored each; empty tables give no rows.  Texts of any length are read whole.
+    curve serve.  Repeated rows are scored each; empty tables give no rows.  Texts of any length are read whole.  Other
+    columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     marks = labels.where(F.col(label_col).isNotNull() & _training(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
