@@ -337,8 +337,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     units = spark.sparkContext.broadcast(frequent)  # BROADCAST_UNITS entries at most
     rare = None if others is None else materialize(rare_units(docs, text_col, others), "toxic-rare")
     some = materialize(marks.where(chosen(FIT_ROWS, marks.count(), "id")).limit(2 * FIT_ROWS), "toxic-sample")
-    sample = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(some), "id").select("label", "text").limit(2 * FIT_ROWS)
-    fit = read_figures(sample, "label", "text", units, rare=rare).toPandas()  # 2 * FIT_ROWS rows at most, there and back
+    sample = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(some), "id").select("label", "text")
+    fit = read_figures(sample, "label", "text", units, rare=rare).limit(2 * FIT_ROWS).toPandas()  # 2 * FIT_ROWS rows at most, there and back
     if 0 < (fit["id"] == 1).sum() < len(fit):
         curve = fit_logistic(fit[list(FIGURES)].to_numpy(), (fit["id"] == 1).to_numpy(dtype=float)).tolist()
     else:
