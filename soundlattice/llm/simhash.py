@@ -27,6 +27,8 @@ GROUPS = 8
 #: Rows of a cell that one task compares at once; larger cells are split into pairs of blocks.
 CELL_ROWS = 8192
 BATCH_ROWS = 200_000
+#: Blocks of a cell that are compared pair by pair; the fingerprints of larger cells meet half-way.
+PAIRED_BLOCKS = 64
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -175,6 +177,21 @@ def _whole(cell: np.ndarray, fp: np.ndarray, limit: int | None, out, done) -> It
         yield from done(cell, fp)
 
 
+def halfway_links(prints: DataFrame, distance: int) -> DataFrame:
+    """Links (u, v) whose closure is that of all pairs of ``prints`` (fp, distinct) within ``distance`` bits, in linear work.
+
+    Two fingerprints are within the distance just if some word differs from the one in at most half of it, rounded up, and
+    from the other in at most half, rounded down.  All that reach a word are tied to the least that is within the lesser
+    half: each such link holds, and any two that are close share a word.
+    """
+    far, near = (distance + 1) // 2, distance // 2
+    masks = [sum(1 << b for b in bits) for k in range(far + 1) for bits in combinations(range(64), k)]
+    signed = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in masks))  # some two thousand for a distance of four
+    reached = prints.select("fp", F.explode(signed).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("word"), (F.bit_count("mask") <= near).alias("near"))
+    least = reached.groupBy("word").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("least"), F.count("*").alias("n")).where("n > 1")
+    return reached.join(least.select("word", "least"), "word").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
+
+
 def links(prints: DataFrame, distance: int = 4, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (u, v) whose closure is that of all pairs of ``prints`` (fp, distinct) within ``distance`` bits."""
     if not 0 <= distance < GROUPS:
@@ -195,8 +212,12 @@ def links(prints: DataFrame, distance: int = 4, cell_rows: int = CELL_ROWS) -> D
     crowded = found.where("cell IS NOT NULL").select("cell", F.col("v").alias("fp"))
     if crowded.isEmpty():
         return near
-    blocks = crowded.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("blocks"))
-    dealt = crowded.join(materialize(blocks, "simhash-blocks"), "cell").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    blocks = materialize(crowded.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("blocks")), "simhash-blocks")
+    huge = blocks.where(F.col("blocks") > PAIRED_BLOCKS)
+    if not huge.isEmpty():
+        met = crowded.join(huge.select("cell"), "cell", "left_semi").select("fp").distinct()
+        near = near.unionByName(materialize(halfway_links(materialize(met, "simhash-met"), distance), "simhash-links"))
+    dealt = crowded.join(blocks.where(F.col("blocks") <= PAIRED_BLOCKS), "cell").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     pairs = dealt.select("cell", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "fp")
     more = pairs.repartition("cell").sortWithinPartitions("cell").mapInArrow(_link(distance, None), schema)

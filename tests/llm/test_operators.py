@@ -350,8 +350,9 @@ def plain_components(prints, least):
     return {f: None if best[find(f)] == math.inf else best[find(f)] for f in order}
 
 
-@pytest.mark.parametrize("cell_rows", [8192, 5])
-def test_near_duplicates(spark, odd, cell_rows):
+@pytest.mark.parametrize(("cell_rows", "paired"), [(8192, 64), (5, 64), (5, 1)])
+def test_near_duplicates(spark, odd, monkeypatch, cell_rows, paired):
+    monkeypatch.setattr(simhash, "PAIRED_BLOCKS", paired)
     r = random.Random(3)
     base = [r.choice("the of and to in was his that it for".split()) for _ in range(60)]
     near = [(9000 + k, " ".join([*base[: k % 60], f"x{k}", *base[k % 60 + 1 :]])) for k in range(60)]
@@ -367,6 +368,29 @@ def test_near_duplicates(spark, odd, cell_rows):
     assert rows_of(got, "doc_id", "fingerprint", "component_id") == want
 
 
+def test_halfway_links(spark):
+    r = random.Random(8)
+    base = [r.getrandbits(64) for _ in range(6)]
+    prints = sorted({b ^ sum(1 << k for k in r.sample(range(64), r.randrange(7))) for b in base for _ in range(8)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    for distance in (4, 3):
+        found = simhash.halfway_links(spark.createDataFrame([(p,) for p in signed], "fp long"), distance).collect()
+        assert all(((x["u"] ^ x["v"]) & (1 << 64) - 1).bit_count() <= distance for x in found)
+        root = {p: p for p in signed}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for x in found:
+            root[find(x["u"])] = find(x["v"])
+        for a in signed:
+            for b in signed:
+                if ((a ^ b) & (1 << 64) - 1).bit_count() <= distance:
+                    assert find(a) == find(b)
+
+
 def test_near_duplicates_of_nothing(empty):
     assert simhash.near_duplicates(empty).count() == 0
 
