@@ -198,12 +198,13 @@ MAJOR = (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88)
 MINOR = (6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17)
 
 
+_KEY_NAMES = [f"{note}_{scale}" for scale in ("major", "minor") for note in CHORD_NAMES]
+_KEYS = np.array([np.roll((np.array(d) - np.mean(d)) / np.std(d), i) for d in (MAJOR, MINOR) for i in range(12)])
+
+
 def key_of(profile: np.ndarray) -> str:
     """The key whose degrees correlate best with a profile from C, as note_scale."""
-    if not profile.std():
-        return f"{CHORD_NAMES[0]}_major"
-    scores = [(np.corrcoef(np.roll(profile, -i), degrees)[0, 1], f"{CHORD_NAMES[i]}_{scale}") for scale, degrees in (("major", MAJOR), ("minor", MINOR)) for i in range(12)]
-    return max(scores, key=lambda s: s[0])[1]
+    return _KEY_NAMES[int(np.argmax(_KEYS @ (profile - profile.mean())))]
 
 
 def dissonance(f: np.ndarray, m: np.ndarray) -> float:
