@@ -88,8 +88,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
             yield pa.RecordBatch.from_arrays([pa.array([version] * batch.num_rows, pa.string()), batch.column(0), pa.array(counts, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
     missing.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    # Two callers may have appended the same digest.
-    counts = read_cache(spark, cache_path, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Two callers may have appended the same digest.  Written, so that the join is of two plain exchanges and a hot digest splits.
+    counts = materialize(read_cache(spark, cache_path, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return keyed.join(counts, "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
