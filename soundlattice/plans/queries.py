@@ -54,8 +54,7 @@ def pairs_query(name: str, value: str, num=None, dim=None, numeric=None, dimensi
     @query(name, f"WITH {TRACKS} SELECT c.id, q.id AS query_id, round({value}, 6) AS distance FROM t c, q")
     def run(spark, sf):
         t = tracks(spark, sf)
-        scored = knn.cross_score(t, t.where("id % 20 = 0"), "id", num, dim, numeric, dimensional)
-        return scored.select("id", "query_id", r6(F.col("distance"), "distance"))
+        return knn.cross_score(t, t.where("id % 20 = 0"), "id", num, dim, numeric, dimensional, digits=6)
 
 
 COS_N = "(q.s * c.s + q.p * c.p) / (sqrt(q.s * q.s + q.p * q.p) * sqrt(c.s * c.s + c.p * c.p))"
@@ -78,7 +77,11 @@ SELECT vec_id, round(coalesce(d, 'infinity'::DOUBLE), 6) AS distance FROM d"""
 
 def best(spark, sf) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return knn.best_distance(e, e.where("vec_id % 20 = 0"), "vec_id", dim=DIM).select("vec_id", r6(F.col("distance"), "distance"))
+    return knn.best_distance(e, e.where("vec_id % 20 = 0"), "vec_id", dim=DIM)
+
+
+def rounded_best(spark, sf) -> DataFrame:
+    return knn.rounded(best(spark, sf), 6)
 
 
 @query("knn_topk", NEAREST + " ORDER BY round(d, 6) NULLS LAST, vec_id LIMIT 10")
@@ -90,20 +93,20 @@ def knn_topk(spark, sf):
 @query("join_cross_score", "SELECT c.vec_id, q.vec_id AS query_id, round(5 * (1 - greatest(-1, least(1, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])))), 6) AS distance FROM embeddings c, embeddings q WHERE q.vec_id % 20 = 0")
 def join_cross_score(spark, sf):
     e = table(spark, sf, "embeddings")
-    return knn.cross_score(e, e.where("vec_id % 20 = 0"), "vec_id", dim=DIM).select("vec_id", "query_id", r6(F.col("distance"), "distance"))
+    return knn.cross_score(e, e.where("vec_id % 20 = 0"), "vec_id", dim=DIM, digits=6)
 
 
-QUERIES["join_min_over_queries"], SQL["join_min_over_queries"] = best, NEAREST
+QUERIES["join_min_over_queries"], SQL["join_min_over_queries"] = rounded_best, NEAREST
 
 
 @query("sort_distance", NEAREST + " ORDER BY d NULLS LAST, vec_id")
 def sort_distance(spark, sf):
-    return best(spark, sf).orderBy("distance", "vec_id")
+    return rounded_best(spark, sf).orderBy("distance", "vec_id")
 
 
 @query("limit_topn", NEAREST + " ORDER BY round(d, 6) NULLS LAST, vec_id LIMIT 20")
 def limit_topn(spark, sf):
-    return knn.topn(best(spark, sf), 20, tie="vec_id")
+    return knn.topn(rounded_best(spark, sf), 20, tie="vec_id")
 
 
 @query("recommend", f"""WITH {TRACKS}, d AS (SELECT c.id, min({EUCLID} + 5 * (1 - greatest(-1, least(1, {COS_E})))) AS d FROM t c, q GROUP BY 1)

@@ -110,3 +110,54 @@ def test_against_numpy(spark, a, b):
     n = np.linalg.norm(a) * np.linalg.norm(b)
     cosine = best(spark, rows, query, dim={"v": 2.0})[1]
     assert cosine == math.inf if n == 0 else cosine == pytest.approx(2 * (1 - np.clip(np.dot(a, b) / n, -1, 1)), abs=1e-6)
+
+
+def mixed(n, seed):
+    """Rows with copies, near copies, zero, null, NaN and tiny vectors."""
+    rng = np.random.default_rng(seed)
+    rows = [(i, rng.normal(size=8).tolist(), float(rng.integers(0, 5)), None) for i in range(n)]
+    odd = [[0.0] * 8, None, [float("nan")] * 8, [None, *[1.0] * 7], [1e-170] * 8, [1e-120, *[0.0] * 7], [1e160] * 8]
+    copies = [(n + k, rows[k][1], 1.0, None) for k in range(5)] + [(n + 5 + k, [x * (1 + 1e-15 * k) for x in rows[k][1]], 1.0, None) for k in range(5)]
+    return rows + copies + [(n + 20 + k, v, 1.0, None) for k, v in enumerate(odd)] + [(n + 30, rows[0][1], None, None)]
+
+
+def by_columns(spark, rows, queries, numeric, dimensional):
+    """Every pair by the distances' columns: {(id, query): distance}."""
+    q = table(spark, queries).select(F.struct("id", "v", "x", V.norm(F.col("v")).alias("v__norm")).alias("q"))
+    c = table(spark, rows).withColumn("v__norm", V.norm(F.col("v"))).crossJoin(F.broadcast(q))
+    of = knn.pair_distance({"x": 0.5}, {"v": 2.0}, numeric, dimensional)
+    return {(r["id"], r["o"]): r["d"] for r in c.select("id", F.col("q.id").alias("o"), of(F.col("q")).alias("d")).collect()}
+
+
+@pytest.mark.parametrize("numeric", [None, D.euclidean, D.manhattan_signed, D.manhattan, D.minkowski(4)])
+@pytest.mark.parametrize("dimensional", [D.cosine_dim, D.euclidean_dim])
+def test_blocks_equal_columns(spark, monkeypatch, numeric, dimensional):
+    monkeypatch.setattr(knn, "SPREAD_QUERIES", 20)
+    rows = mixed(60, 3)
+    queries = rows[::2]
+    want = by_columns(spark, rows, queries, numeric, dimensional)
+    options = {"num": {"x": 0.5}, "dim": {"v": 2.0}, "numeric": numeric, "dimensional": dimensional}
+    for digits in (None, 6):
+        got = {(r["id"], r["query_id"]): r["distance"] for r in knn.cross_score(table(spark, rows), table(spark, queries), "id", digits=digits, **options).collect()}
+        assert got.keys() == want.keys()
+        for k, d in got.items():
+            assert (d is None) == (want[k] is None) and (d is None or d == pytest.approx(want[k], rel=1e-12, abs=1e-6 if digits else 1e-7)), k
+    found = best(spark, rows, queries, **options)
+    for i, d in found.items():
+        own = [x for (k, _), x in want.items() if k == i and x is not None]
+        assert d == (pytest.approx(min(own), rel=1e-12, abs=1e-7) if own else math.inf)
+
+
+def test_vectors_are_scored_in_blocks_over_all_cores(spark, monkeypatch, capsys):
+    monkeypatch.setattr(knn, "SPREAD_QUERIES", 20)
+    rows = table(spark, mixed(60, 4)).coalesce(1)
+    for df in (knn.best_distance(rows, rows, "id", dim={"v": 1.0}), knn.cross_score(rows, rows, "id", dim={"v": 1.0}, dimensional=D.euclidean_dim, digits=6)):
+        df.explain()
+        plan = capsys.readouterr().out
+        assert "MapInArrow" in plan and "lambda" not in plan and df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_rounds_as_sql(spark):
+    from soundlattice.operators.scoring import round_half_away
+
+    assert round_half_away(np.array([0.5, -0.5, 1.5, 2.5, 0.49999999999999994, np.inf, 1e300]), 0).tolist() == [1.0, -1.0, 2.0, 3.0, 0.0, np.inf, 1e300]
