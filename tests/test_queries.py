@@ -54,3 +54,10 @@ def test_top_n_neither_sorts_nor_shuffles_the_dataset(spark, sf, capsys):
     QUERIES["knn_topk"](spark, sf).explain()
     plan = capsys.readouterr().out
     assert "TakeOrderedAndProject" in plan and "Exchange hashpartitioning(vec_id" not in plan
+
+
+def test_sort_distance_is_in_its_sql_s_order(spark, sf, duck, capsys):
+    df = QUERIES["sort_distance"](spark, sf)
+    assert [tuple(r) for r in df.collect()] == duck.execute(SQL["sort_distance"]).fetchall()
+    df.explain()
+    assert "MapInArrow" not in capsys.readouterr().out  # scored once, not again for the sort's sample
