@@ -152,8 +152,8 @@ vector_query("vec_parse", "round(list_sum(list_transform(e, lambda x, i: x * i))
 vector_query("arr_mean", "round(list_avg(e), 6)", lambda e: F.round(V.mean(e), 6))
 vector_query("arr_std", "round(list_stddev_pop(e), 6)", lambda e: F.round(V.std(e), 6))
 vector_query("arr_max", "round(list_max(e), 6)", lambda e: F.round(F.array_max(e), 6))
-vector_query("arr_argsort", "array_to_string(list_transform(list_grade_up(e), lambda x: x - 1), ',')", lambda e: F.array_join(V.argsort(e).cast("array<string>"), ","))
-vector_query("sort_pairs", "array_to_string(list_transform(list_grade_up(e), lambda x: (64 - x)), ',')", lambda e: F.array_join(F.transform(V.sort_pairs(e, F.reverse(F.sequence(F.lit(0), F.lit(63)))), lambda p: p["v"].cast("string")), ","))
+vector_query("arr_argsort", "array_to_string(list_transform(list_grade_up(e), lambda x: x - 1), ',')", lambda e: F.array_join(V.argsort(e, equals_as_sql=True).cast("array<string>"), ","))
+vector_query("sort_pairs", "array_to_string(list_transform(list_grade_up(e), lambda x: (64 - x)), ',')", lambda e: F.array_join(F.transform(V.sort_pairs(e, F.reverse(F.sequence(F.lit(0), F.lit(63))), equals_as_sql=True), lambda p: p["v"].cast("string")), ","))
 
 
 @query("vec_expand", "SELECT vec_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS embedding_{i}" for i in range(64)) + " FROM embeddings")
